@@ -6,14 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm import mojibake, tokenize
+from folioloom.llm import mixing, mojibake, split, survivor, tokenize
 from folioloom.session import table
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    tables = {"script_segments": (table(spark, d, "script_segments"), "seg_key"), "chapters": (table(spark, d, "chapters"), "chapter_id")}
+    return split.split_long(split.limited(tables, table(spark, d, "split_limits")), ["tbl", "row_key"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("piece_no = 0").select("tbl", "row_key")
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.cast_survivors(table(spark, d, "cast_members"), table(spark, d, "profile_trust"))
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.surviving_records(table(spark, d, "cast_members"), table(spark, d, "profile_trust"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mix.records().withColumnRenamed("key", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -23,7 +53,38 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p6_ids, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_found": """
+        SELECT 'script_segments' AS tbl, seg_key AS row_key FROM script_segments
+        WHERE length(text) > (SELECT max_chars FROM split_limits WHERE tbl = 'script_segments')
+        UNION ALL
+        SELECT 'chapters', chapter_id FROM chapters
+        WHERE length(text) > (SELECT max_chars FROM split_limits WHERE tbl = 'chapters')
+    """,
+    "p2_found": """
+        WITH said AS (
+            SELECT c.book_id, c.id, c.entry_id, c.updated_at, coalesce(t.trust, -1) AS trust,
+                len(list_distinct(list_filter(list_transform(coalesce(aliases, []), lambda x: trim(x)),
+                    lambda x: x IS NOT NULL AND lower(x) NOT IN ('', 'none', 'unknown', 'not stated', 'n/a', 'na', 'null', '-', '?')))) AS aliases_n,
+                len(list_filter(list_transform(coalesce(evidence, []), lambda x: trim(regexp_replace(x, '^\\s*ch\\d+:\\s*', ''))),
+                    lambda x: x IS NOT NULL AND lower(x) NOT IN ('', 'none', 'unknown', 'not stated', 'n/a', 'na', 'null', '-', '?'))) AS evidence_n,
+                len(list_filter(map_values(coalesce(notes, MAP {})), lambda v: len(list_filter(coalesce(v, []),
+                    lambda x: x IS NOT NULL AND lower(trim(x)) NOT IN ('', 'none', 'unknown', 'not stated', 'n/a', 'na', 'null', '-', '?'))) > 0)) AS notes_n,
+                CASE WHEN json_valid(persona) AND json_type(CASE WHEN json_valid(persona) THEN persona END) = 'OBJECT'
+                    THEN len(list_filter(json_extract_string(persona, '$.*'), lambda x: x IS NOT NULL
+                        AND lower(trim(x)) NOT IN ('', 'none', 'unknown', 'not stated', 'n/a', 'na', 'null', '-', '?'))) ELSE 0 END AS persona_n
+            FROM cast_members c LEFT JOIN profile_trust t ON c.profile = t.profile
+            WHERE (c.book_id, c.id) IN (SELECT (book_id, id) FROM cast_members GROUP BY book_id, id HAVING count(*) > 1)
+        ), fields AS (
+            SELECT book_id, id, 'aliases' AS field, entry_id, updated_at, aliases_n AS score FROM said WHERE aliases_n > 0
+            UNION ALL SELECT book_id, id, 'evidence', entry_id, updated_at, 0 FROM said WHERE evidence_n > 0
+            UNION ALL SELECT book_id, id, 'notes', entry_id, updated_at, notes_n FROM said WHERE notes_n > 0
+            UNION ALL SELECT book_id, id, 'persona', entry_id, updated_at, trust FROM said WHERE persona_n > 0
+        )
+        SELECT book_id, id, field, entry_id FROM fields
+        QUALIFY row_number() OVER (PARTITION BY book_id, id, field ORDER BY score DESC, updated_at DESC, entry_id DESC) = 1
+    """,
+}
