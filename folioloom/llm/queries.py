@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm import mixing, mojibake, split, survivor, tokenize
+from folioloom.llm import mixing, mojibake, names, split, survivor, tokenize
 from folioloom.session import table
 
 
@@ -31,6 +31,14 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(table(spark, d, "cast_members"), table(spark, d, "profile_trust"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_person_pairs(table(spark, d, "cast_members"))
+
+
+def p4_persons(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_persons(table(spark, d, "cast_members"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -53,7 +61,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p4_found, p4_persons, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
 }
 
 ORACLE: dict[str, str] = {

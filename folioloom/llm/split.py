@@ -34,7 +34,7 @@ _BOUNDARIES = (
     (IDEOGRAPH, re.compile("[぀-ヿ㐀-鿿豈-﫿](?=[぀-ヿ㐀-鿿豈-﫿])")),
     (WORD, re.compile(r"\s+|[-—–](?=\w)")),
     (CLAUSE, re.compile(rf"[,;:—–…،][{_CLOSERS}]*\s+|[，、；：…][{_CLOSERS}]*")),
-    (SENTENCE, re.compile(rf"[.!?…][{_CLOSERS}]*\s+|[。！？｡।॥][{_CLOSERS}]*\s*|(?<=[฀-๿”])\s+(?=[฀-๿“])")),
+    (SENTENCE, re.compile(rf"(?<!\b[A-Z])(?<!\b(?:Mr|Dr|St|cf|pp|No|no|Nr|Fr|Hr))(?<!\b(?:Mrs|Mme|fig|vol|Rev|Sra))[.!?…][{_CLOSERS}]*\s+(?![a-zß-ÿа-яё])|[。！？｡।॥][{_CLOSERS}]*\s*|(?<=[฀-๿”])\s+(?=[฀-๿“])")),
     (PARAGRAPH, re.compile(r"\n\s*\n\s*|\n+")),
 )
 
@@ -64,14 +64,14 @@ def plan_cuts(text: str, max_chars: int, overlap: int) -> list[int]:
     penalty = cut_penalties(text)
     begins = np.where(penalty <= WORD + 0.5, 0.0, _START)  # of a piece that starts here
     begins[penalty >= NEVER] = 4.0
-    # Positions to cut at: all natural boundaries, and any position in stretches of a step without one.
-    natural = np.flatnonzero(penalty < ANY)
-    natural = natural[(natural > overlap) & (natural < n)]
-    edges = np.concatenate([[overlap], natural, [n]])
-    wide = np.flatnonzero(np.diff(edges) > max(1, step // 4))
-    extra = [np.arange(edges[k] + 1, edges[k + 1]) for k in wide]
-    extra = [x[penalty[x] < NEVER] if (penalty[x] < NEVER).any() else x for x in extra]
-    at = np.unique(np.concatenate([[0], natural, *extra, [n]]))
+    at = np.array([overlap, n])
+    for most, room in ((CLAUSE, 0), (ANY - 1, step // 8), (NEVER - 1, step // 4), (NEVER, step)):
+        # Weaker boundaries count where there is no stronger one for a while.
+        fit = np.flatnonzero(penalty <= most)
+        fit = fit[(fit > overlap) & (fit < n)]
+        k = np.searchsorted(at, fit)
+        at = np.unique(np.concatenate([at, fit[at[k] - at[k - 1] > room]]))
+    at = np.unique(np.concatenate([[0], at[at > overlap], [n]]))
     # What is the same text in every plan: the fewest pieces, and their even size.
     fewest = -(-(n - overlap) // step)
     even = (n + (fewest - 1) * overlap) / fewest
