@@ -15,8 +15,14 @@ for _less in ("З", "ь", "υ", "ι", "α", "ρ", "κ"):  # not alike enough
     CYRILLIC_AS_LATIN.pop(_less, None)
     GREEK_AS_LATIN.pop(_less, None)
 LATIN_AS_CYRILLIC = dict(zip("ABCEHKMOPTXaceopxy", "АВСЕНКМОРТХасеорху"))
-OTHER_AS_LATIN = {"K": "K", "Å": "Å", "ı": "i", "ɡ": "g", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-MARKS_AS_PLAIN = {"․": ".", "‐": "-", "‑": "-", "ʼ": "’", ";": ";", "։": ":", "∶": ":", "꞉": ":", "⁄": "/", "∕": "/", "‥": "..", "ǃ": "!"}
+OTHER_AS_LATIN = {
+    "\u212a": "K", "\u212b": "Å", "\u0131": "i", "\u0261": "g", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi",
+    "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
+}
+MARKS_AS_PLAIN = {
+    "\u2024": ".", "\u2025": "..", "\u2010": "-", "\u2011": "-", "\u02bc": "’", "\u037e": ";", "\u0589": ":", "\u2236": ":",
+    "\ua789": ":", "\u2044": "/", "\u2215": "/", "\u01c3": "!",
+}
 
 
 @cache

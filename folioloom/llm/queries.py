@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioloom.llm import mixing, mojibake, names, split, survivor, tokenize
+from folioloom.llm import equal_looking, mixing, mojibake, names, sentences, split, survivor, tokenize
 from folioloom.session import table
 
 
@@ -31,6 +32,17 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(table(spark, d, "cast_members"), table(spark, d, "profile_trust"))
 
 
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    chapters = table(spark, d, "chapters").select(F.lit("chapters").alias("tbl"), F.col("chapter_id").alias("row_key"), "text")
+    segments = table(spark, d, "script_segments").select(F.lit("script_segments").alias("tbl"), F.col("seg_key").alias("row_key"), "text")
+    texts = chapters.unionByName(segments)
+    return sentences.sentences(texts, ["tbl", "row_key"], heading=F.col("tbl") == "chapters")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_sentences(spark, d).select("tbl", "row_key", "start_pos")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_person_pairs(table(spark, d, "cast_members"))
 
@@ -39,6 +51,21 @@ def p4_persons(spark: SparkSession, d: str) -> DataFrame:
     return names.same_persons(table(spark, d, "cast_members"))
 
 
+def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        ("script_segments", table(spark, d, "script_segments"), "seg_key", "text"),
+        ("cast_members", table(spark, d, "cast_members"), "entry_id", "name"),
+        ("pronunciations", table(spark, d, "pronunciations"), "pron_id", "name"),
+        ("pronunciations", table(spark, d, "pronunciations"), "pron_id", "respelling"),
+    ]
+    values = equal_looking.book_values(parts, table(spark, d, "books"))
+    return equal_looking.with_canonical(values, ["tbl", "row_key", "field"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_canonical(spark, d).select("tbl", "row_key").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -61,7 +88,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p4_found, p4_persons, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p3_found, p3_sentences, p4_found, p4_persons, p5_found, p5_canonical, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
 }
 
 ORACLE: dict[str, str] = {
