@@ -34,6 +34,7 @@ COLLATION = "UNICODE"  # tertiary strength: accents and case tell values apart,
 _CYRILLIC_REAL = "БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯЁУбвгджзийклмнптфцчшщъыьэюяё"
 _GREEK_REAL = "ΓΔΘΛΞΠΣΦΨΩαβγδεζηθικλμξπρστυφχψωάέήίόύώϊϋ"
 _JOINERS = "‌‍"
+_PICTURES = f"{chr(0x1F000)}-{chr(0x1FAFF)}"  # as characters: Java looks behind for two units only if it sees them
 _SELECTORS = "".join(map(chr, range(0xFE00, 0xFE10)))
 
 
@@ -119,8 +120,8 @@ def mapped(text: Column, lang: Column) -> Column:
     gone = "".join(c for c in invisible() if c not in _JOINERS + _SELECTORS)
     out = F.translate(text, gone, "")
     # Joiners and selectors shape Indic letters and pictures; elsewhere they show nothing.
-    out = F.regexp_replace(out, rf"(?<![\u094D\u0CCD\u0D4D\x{{1F000}}-\x{{1FAFF}}\u2600-\u27BF\uFE0F])[{_JOINERS}]", "")
-    out = F.regexp_replace(out, rf"(?<![\x{{1F000}}-\x{{1FAFF}}\u2190-\u2BFF\u00A9\u00AE#*0-9])[{_SELECTORS}]", "")
+    out = F.regexp_replace(out, rf"(?<![\u094D\u0CCD\u0D4D{_PICTURES}\u2600-\u27BF\uFE0F])[{_JOINERS}]", "")
+    out = F.regexp_replace(out, rf"(?<![{_PICTURES}\u2190-\u2BFF\u00A9\u00AE#*0-9])[{_SELECTORS}]", "")
     out = _translate(out, _everywhere())
     out = F.when(east, out).otherwise(_translate(out, _outside_east_asia()))
     for a, b in (MARKS_AS_PLAIN | OTHER_AS_LATIN).items():
