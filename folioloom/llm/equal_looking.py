@@ -49,7 +49,7 @@ def _folded(first: int, last: int) -> dict[str, str]:
 
 
 @cache
-def _everywhere() -> dict[str, str]:
+def everywhere() -> dict[str, str]:
     """Character to character in every language."""
     table = {c: " " for c in odd_spaces() if c != "　"}
     table |= {a: b for a, b in (MARKS_AS_PLAIN | OTHER_AS_LATIN).items() if len(b) == 1}
@@ -122,7 +122,7 @@ def mapped(text: Column, lang: Column) -> Column:
     # Joiners and selectors shape Indic letters and pictures; elsewhere they show nothing.
     out = F.regexp_replace(out, rf"(?<![\u094D\u0CCD\u0D4D{_PICTURES}\u2600-\u27BF\uFE0F])[{_JOINERS}]", "")
     out = F.regexp_replace(out, rf"(?<![{_PICTURES}\u2190-\u2BFF\u00A9\u00AE#*0-9])[{_SELECTORS}]", "")
-    out = _translate(out, _everywhere())
+    out = _translate(out, everywhere())
     out = F.when(east, out).otherwise(_translate(out, _outside_east_asia()))
     for a, b in (MARKS_AS_PLAIN | OTHER_AS_LATIN).items():
         if len(b) > 1:

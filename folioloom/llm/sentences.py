@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.llm.equal_looking import everywhere
+from folioloom.llm.lookalikes import CYRILLIC_AS_LATIN, GREEK_AS_LATIN
+
 # Placeholders.
 _DOT, _BANG, _ASK, _GAP, _OPEN, _SHUT, _PARA, _END = ("", "", "", "", "", "", "", "")
 _OWN = _DOT + _BANG + _ASK + _GAP + _OPEN + _SHUT + _PARA + _END
@@ -33,7 +36,9 @@ _SAID_ZH = "低声说|轻声说|大声说|说|问道|答道|喊道|叫道|说道
 _SAID_TH = "ตอบ|ถาม|กล่าว|กระซิบ|พูด|บอก|ตะโกน|ร้อง|เอ่ย"
 _SAID_HI = "कहा|पूछा|उत्तर दिया|जवाब दिया|बोला|बोली|चिल्लाया|फुसफुसाया"
 
-_TH = "\\u0E01-\\u0E4E"
+# Characters that show nothing may stand anywhere in a damaged text.
+_INV = "\\u00AD\\u034F\\u200B-\\u200F\\u2060-\\u2064\\uFEFF"
+_TH = "\\u0E01-\\u0E4E" + _INV
 _CJK = "\\u3005\\u3040-\\u30FF\\u3400-\\u9FFF\\uF900-\\uFAFF"
 _WORD_START = r"(?<![\p{L}\p{M}\p{N}])"
 
@@ -83,13 +88,13 @@ def _ends(p: Column) -> Column:
     )
     spaced = rf"[^\S{_GAP}]+"
     put(
-        rf"([.!?…।॥]+(?:[’'\)\]])*(?![”“‘»›{_SHUT}])(?!\s[»›]))({spaced}){onward}|([.!?…।॥]+{shut}+)({spaced}){onward}{clause}",
+        rf"([.!?…।॥]+(?:[’'\)\]{_INV}])*(?![”“‘»›{_SHUT}])(?!\s[»›]))({spaced}){onward}|([.!?…।॥]+{shut}+)({spaced}){onward}{clause}",
         f"$1$3{_END}$2$4",
     )
     # Scripts without spaces.
     quoted = rf"[”」』{_SHUT}）\)]"
     bound = r"(?!\s*(?:と|って|との|という|などと|、|，|,))"
-    zh_clause = rf"(?!\s?[{_CJK}·]{{1,10}}?(?:{_SAID_ZH})(?:着)?[。，：！？,:“「{_OPEN}])"
+    zh_clause = rf"(?!\s?[{_CJK}·{_INV}]{{1,12}}?(?:{_SAID_ZH})(?:着)?[。，：！？,:“「{_OPEN}])"
     put(
         rf"([。！？｡]+|[!?]+(?=[”」』’{_SHUT}）]*[{_CJK}]))(?![。！？｡!?”」』’{_SHUT}）\)])(?=\s*\S)"
         rf"|((?:[。！？｡]+|[!?]+(?=[’）\)]?[”」』{_SHUT}）\)]+\s*[{_CJK}]))[’）\)]?{quoted}+)(?!{quoted}|[。！？])(?=\s*\S){bound}{zh_clause}",
@@ -106,6 +111,15 @@ def _ends(p: Column) -> Column:
     return p
 
 
+def _plain(text: Column) -> Column:
+    """A text of the same length in which odd spaces, full stops and letters are the ordinary ones they look like."""
+    table = everywhere()
+    out = F.translate(text, "".join(table), "".join(table.values()))
+    alike = CYRILLIC_AS_LATIN | GREEK_AS_LATIN
+    in_latin = out.rlike(f"[{''.join(alike)}]") & out.rlike("[A-Za-z]") & ~out.rlike("[БГДЖЗИЙЛФЦЧШЩЪЫЭЮЯбвгджзийклмнптфцчшщъыьэюяΔΛΣβγδλμπσωάέήίόύώ]")
+    return F.when(in_latin, F.translate(out, "".join(alike), "".join(alike.values()))).otherwise(out)
+
+
 def _starts(lengths: Column) -> Column:
     """Sums of the lengths before each."""
     zero = F.lit(0)
@@ -121,7 +135,7 @@ def sentences(texts: DataFrame, keys: list[str], text: str = "text", heading: Co
     heading: whether a row's first paragraph is a heading, which is one sentence whatever stands in it.
     Columns beyond keys and text are not read.
     """
-    safe = F.translate(F.col(text), _OWN, "�" * len(_OWN))
+    safe = _plain(F.translate(F.col(text), _OWN, "�" * len(_OWN)))
     cut = F.split(F.regexp_replace(safe, r"(\n[^\S\n]*\n\s*)", f"$1{_PARA}"), _PARA)
     named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rows = texts.select(*named, F.col(text).alias("text"), (F.lit(False) if heading is None else heading).alias("headed"), cut.alias("paras"))

@@ -15,6 +15,7 @@ SENTENCES = [
     "“La forêt est rouillée ?” répliqua Norander. |On lisait : « Défense d’entrer ! » et rien d’autre.", "Am 7. März 1886 hing Wäsche. |Hr. T. und Fr. O. wohnten im 23. Stock, d. h. oben, z. B. hier.", "„Nein!“ sagte er. |„Doch.“",
     "¿Son 24,4 leguas? |Según el cap. 4, pág. 7, el Sr. Monvane llegó. |¡Qué!", "Д-р Чуриков живёт на ул. Речной, т. е. тут. |На двери «Стой!» и больше ничего.", "“明天一早就走，”江守桥说。|“听，下雨了？”", "“不行。|明天一早就走。”陆听山说。|1800年以后。",
     "牌子上写着‘止步！’两个字，方寻溪笑了。|等了……然后走。", "「止まれ！」と書いた札の前。|「だめだ。|行こう！」と言った。|雨だ。", "“नहीं?” मोहन ने उत्तर दिया। |कीमत 47.8 थी। |डॉ. वनकर आए।", "“ฟังเสียงฝนสิ |ไม่” ทองดินถาม |เรือราคา 22 บาทที่บ้าน", "แสงดาวตอบ “ฉันไม่เห็น”",
+    "Non․ |Donnez-la à М․ Jarstane․ |Oui.", "Wie müde! |Die Brücke kostete. |Mеntion the Dr․ Wex. |End", "“不行。|走。”林雨﻿月喊道。|大雨落。", "“不行。”温听⽕说。|走。",
     '"Yes." |"No," said Sam. |"Go."', "One line without end", "A\n\n|B c. |D", "",
 ]
 
