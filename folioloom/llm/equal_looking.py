@@ -84,24 +84,32 @@ def _translate(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(table), "".join(table.values()))
 
 
-def _letters(text: Column, russian: Column) -> Column:
+def _pieces(text: Column) -> Column:
+    """A text cut beside spaces, dashes and brackets; joined again it is the text."""
+    return F.split(text, r"(?<=[\s_/\-—–(«“‘])|(?=[\s_/\-—–)»”’])")
+
+
+def _beside(pieces: Column, step: int) -> Column:
+    """Each piece's neighbour `step` to the right (left if negative); empty beyond the ends."""
+    n, edge = F.size(pieces), F.array_repeat(F.lit(""), abs(step))
+    if step > 0:
+        return F.concat(F.slice(pieces, F.lit(step + 1), F.greatest(n - step, F.lit(0))), edge)
+    return F.slice(F.concat(edge, pieces), F.lit(1), n)
+
+
+def _letters(text: Column, pieces: Column, russian: Column) -> Column:
     """Words in which letters only look like those of the word's script, with the script's own."""
     latin = CYRILLIC_AS_LATIN | GREEK_AS_LATIN
     real = f"[{_CYRILLIC_REAL}{_GREEK_REAL}]"
     cyrillic_real, any_cyrillic = f"[{_CYRILLIC_REAL}]", r"\p{IsCyrillic}"
     only_alike = "".join(LATIN_AS_CYRILLIC)
     latin_real = rf"[\p{{IsLatin}}&&[^{only_alike}]]"
-    words = F.split(text, r"(?<=[\s_/\-—–(«“‘])|(?=[\s_/\-—–)»”’])")
-
-    def fix(w: Column, i: Column) -> Column:
-        def near(step: int) -> Column:
-            # The next word on this side, behind the piece that parts them.
-            return F.concat(F.coalesce(F.get(words, i + step), F.lit("")), F.coalesce(F.get(words, i + 2 * step), F.lit("")))
 
-        to_cyrillic = _translate(w, LATIN_AS_CYRILLIC)
-        to_latin = _translate(w, latin)
-        around = F.concat(near(-1), near(1))
+    def fix(x: Column) -> Column:
+        w = x["w"]
+        around = F.concat(x["l1"], x["l2"], x["r1"], x["r2"])
         alone = w.rlike(rf"^\P{{L}}*[{only_alike}]+\P{{L}}*$") & around.rlike(any_cyrillic) & ~around.rlike(latin_real)
+        to_cyrillic, to_latin = _translate(w, LATIN_AS_CYRILLIC), _translate(w, latin)
         return (
             F.when(w.rlike(cyrillic_real) & w.rlike(f"[{only_alike}]") & ~w.rlike(latin_real), to_cyrillic)
             .when(russian & w.rlike(any_cyrillic) & ~w.rlike(latin_real), to_cyrillic)
@@ -110,41 +118,56 @@ def _letters(text: Column, russian: Column) -> Column:
             .otherwise(w)
         )
 
+    sides = {"l1": -1, "l2": -2, "r1": 1, "r2": 2}  # the next words, and what parts them
+    zipped = F.arrays_zip(pieces.alias("w"), *[_beside(pieces, k).alias(name) for name, k in sides.items()])
     suspect = text.rlike(f"[{''.join(latin)}]") | (text.rlike(any_cyrillic) & text.rlike(f"[{only_alike}]"))
-    return F.when(suspect, F.array_join(F.transform(words, fix), "")).otherwise(text)
+    return F.when(suspect, F.array_join(F.transform(zipped, fix), "")).otherwise(text)
 
 
-def mapped(text: Column, lang: Column) -> Column:
-    """A value as its reader sees it, in the ordinary characters of its language (two letters, lower case)."""
-    east = lang.isin("zh", "ja")
+def _ordinary(text: Column) -> Column:
+    """A text without what shows nothing, its compatibility characters as those they stand for."""
     gone = "".join(c for c in invisible() if c not in _JOINERS + _SELECTORS)
     out = F.translate(text, gone, "")
     # Joiners and selectors shape Indic letters and pictures; elsewhere they show nothing.
     out = F.regexp_replace(out, rf"(?<![\u094D\u0CCD\u0D4D{_PICTURES}\u2600-\u27BF\uFE0F])[{_JOINERS}]", "")
     out = F.regexp_replace(out, rf"(?<![{_PICTURES}\u2190-\u2BFF\u00A9\u00AE#*0-9])[{_SELECTORS}]", "")
     out = _translate(out, everywhere())
-    out = F.when(east, out).otherwise(_translate(out, _outside_east_asia()))
     for a, b in (MARKS_AS_PLAIN | OTHER_AS_LATIN).items():
         if len(b) > 1:
             out = F.replace(out, F.lit(a), F.lit(b))
     for a, b in (("เเ", "แ"), ("ํา", "ำ"), ("अा", "आ"), ("एे", "ऐ")):  # fixed values: two signs that look like one
         out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def _composed(text: Column) -> Column:
+    """Letters with one combining mark as the composed letters."""
     pairs = F.create_map(*[F.lit(x) for kv in _compositions().items() for x in kv])
     marks = "\u0300-\u036F\u3099\u309A"
-    whole = F.transform(F.regexp_extract_all(out, F.lit(rf"(?s)[^{marks}][{marks}]?|[{marks}]"), F.lit(0)), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
-    out = F.when(out.rlike(f"[{marks}]"), F.array_join(whole, "")).otherwise(out)
-    return _letters(out, lang == "ru")
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)[^{marks}][{marks}]?|[{marks}]"), F.lit(0))
+    whole = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    return F.when(text.rlike(f"[{marks}]"), whole).otherwise(text)
+
+
+def with_seen(values: DataFrame) -> DataFrame:
+    """`values` (lang, value) with seen: the value as its reader sees it, in the ordinary characters of its language
+    (two letters, lower case).  In steps, each of which uses the one before several times."""
+    first = values.withColumn("_first", _ordinary(F.col("value")))
+    east = F.col("lang").isin("zh", "ja")
+    plain = first.withColumn("_plain", F.when(east, F.col("_first")).otherwise(_translate(F.col("_first"), _outside_east_asia())))
+    cut = plain.withColumn("_pieces", _pieces(F.col("_plain")))
+    own = cut.withColumn("_own", _letters(F.col("_plain"), F.col("_pieces"), F.col("lang") == "ru"))
+    return own.withColumn("seen", _composed(F.col("_own"))).drop("_first", "_plain", "_pieces", "_own")
 
 
 def canonical_forms(values: DataFrame) -> DataFrame:
     """(lang, value, canonical) of the distinct values (lang, value); null values are left out."""
     single = values.where(F.col("value").isNotNull()).select(F.coalesce("lang", F.lit("xx")).alias("lang"), "value").distinct()
-    seen = single.withColumn("seen", mapped(F.col("value"), F.col("lang")))
+    seen = with_seen(single)
     key = F.collate(F.col("seen"), COLLATION)
-    # A member that its own mapping leaves as it is has nothing unusual.
-    member = F.struct((F.col("value") != F.col("seen")).cast("int").alias("odd"), F.col("value").alias("form"))
-    best = F.least(F.min(member), F.struct(F.lit(0).alias("odd"), F.min("seen").alias("form")))
-    classes = seen.groupBy("lang", key.alias("class")).agg(best["form"].alias("canonical"))
+    # A member that its own mapping leaves as it is has nothing unusual; a class without one gets its mapped value.
+    ordinary = F.min(F.when(F.col("value") == F.col("seen"), F.col("value")))
+    classes = seen.groupBy("lang", key.alias("class")).agg(F.coalesce(ordinary, F.min("seen")).alias("canonical"))
     # Back to the values: mapped values that are equal by bytes are equal under the collation.
     forms = seen.select("lang", "value", key.alias("class"))
     return forms.join(classes, ["lang", "class"]).select("lang", "value", "canonical")

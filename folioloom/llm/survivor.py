@@ -149,13 +149,13 @@ def choose(values: DataFrame, group: list[str], policy: str = "dominant") -> Dat
     single = (
         values.where(F.size("tokens") > 0)
         .groupBy(*group, "tokens")
-        .agg(F.max(F.struct("rank", "entry")).alias("top"), F.sum("weight").alias("weight"))
+        .agg(F.max(F.struct("rank", "entry")).alias("_top"), F.sum("weight").alias("weight"))
     )
-    value = F.struct("tokens", F.col("top.rank").alias("rank"), "weight", F.col("top.entry").alias("entry"))
+    value = F.struct("tokens", F.col("_top.rank").alias("rank"), "weight", F.col("_top.entry").alias("entry"))
     blocks = (
-        single.withColumn("block", F.pmod(F.xxhash64("tokens"), F.lit(BLOCKS)))
-        .groupBy(*group, "block")
-        .agg(F.collect_list(value).alias("values"))
+        single.withColumn("_block", F.pmod(F.xxhash64("tokens"), F.lit(BLOCKS)))
+        .groupBy(*group, "_block")
+        .agg(F.collect_list(value).alias("_values"))
     )
 
     def from_arrow(batch: pa.RecordBatch, columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
@@ -164,15 +164,15 @@ def choose(values: DataFrame, group: list[str], policy: str = "dominant") -> Dat
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    profiled = _schema(kinds, f"profile array<{_COLUMN}>")
-    agreed = _schema(kinds, "agreed array<string>")
-    chosen = _schema(kinds, "far int, rank array<double>, entry bigint")
+    profiled = _schema(kinds, f"_profile array<{_COLUMN}>")
+    agreed = _schema(kinds, "_agreed array<string>")
+    chosen = _schema(kinds, "_far int, _rank array<double>, _entry bigint")
     p_arrow, a_arrow, c_arrow = map(to_arrow_schema, (profiled, agreed, chosen))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(n).to_pylist()
-            yield from_arrow(batch, {"profile": [_pack(progressive(v)) for v in rows]}, p_arrow)
+            yield from_arrow(batch, {"_profile": [_pack(progressive(v)) for v in rows]}, p_arrow)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,22 +183,22 @@ def choose(values: DataFrame, group: list[str], policy: str = "dominant") -> Dat
                 for p in sorted(parts, key=lambda p: (_all(p), sorted(t or "" for t in p[0])), reverse=True):
                     whole = align(whole, p)
                 out.append(consensus(whole, policy))
-            yield from_arrow(batch, {"agreed": out}, a_arrow)
+            yield from_arrow(batch, {"_agreed": out}, a_arrow)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = []
             for rows, goal in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
                 best.append(min(((distance(v["tokens"], goal), [-x for x in v["rank"]], -v["entry"], v) for v in rows), key=lambda x: x[:3]))
-            columns = {"far": [b[0] for b in best], "rank": [b[3]["rank"] for b in best], "entry": [b[3]["entry"] for b in best]}
+            columns = {"_far": [b[0] for b in best], "_rank": [b[3]["rank"] for b in best], "_entry": [b[3]["entry"] for b in best]}
             yield from_arrow(batch, columns, c_arrow)
 
-    profiles = blocks.select(*group, "values").mapInArrow(make, profiled)
-    goals = profiles.groupBy(*group).agg(F.collect_list("profile").alias("profiles")).mapInArrow(merge, agreed)
+    profiles = blocks.select(*group, "_values").mapInArrow(make, profiled)
+    goals = profiles.groupBy(*group).agg(F.collect_list("_profile").alias("_profiles")).mapInArrow(merge, agreed)
     # A group has at most 256 rows on the blocks' side, however many records it has.
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
-    met = blocks.alias("b").join(goals.alias("g"), same).select(*[F.col(f"b.{c}").alias(c) for c in group], "values", "agreed")
-    nearest = F.min_by("entry", F.struct("far", F.transform("rank", lambda x: -x).alias("low"), (-F.col("entry")).alias("last")))
+    met = blocks.alias("b").join(goals.alias("g"), same).select(*[F.col(f"b.{c}").alias(c) for c in group], "_values", "_agreed")
+    nearest = F.min_by("_entry", F.struct("_far", F.transform("_rank", lambda x: -x).alias("low"), (-F.col("_entry")).alias("last")))
     return met.mapInArrow(pick, chosen).groupBy(*group).agg(nearest.alias("entry"))
 
 
