@@ -19,7 +19,7 @@ def current_script(saved: DataFrame) -> DataFrame:
 
 def tag_override(script: DataFrame, index: DataFrame, keys: Sequence[str] = ("book_id", "n"), book: str = "book_id") -> DataFrame:
     """`script` with speaker and tag_override as the tags have it: a quotation followed in its paragraph by narration
-    that begins with a tag ("said Danglars") belongs to whom the tag names, if the index knows the name.
+    that begins with a tag ("said Zoé") belongs to whom the tag names, if the index knows the name.
 
     A quotation looks at its own successor alone, so one window does it.  The index is joined on (book, key), twice: by
     the name and by the name without "the ".
