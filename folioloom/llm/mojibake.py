@@ -412,11 +412,22 @@ def _loose(text: str, writer: str, reader: str) -> str | None:
     return re.sub("�+", "�", new)
 
 
-def _undo_line(line: str, votes: Counter, known: list) -> str:
-    """A line decoded again under the pair that leaves the fewest oddities; the line itself if none leaves far fewer.
-    known: pairs that the text's other lines were garbled by, which are tried first."""
+# Letters of none of the languages: what damage turns into, and what names from elsewhere hold rightly.
+_RARE = set("ăőŕčďđěňřťůűľĺşţĂŐŔČĎĐĚŇŘŤŮŰĽĹŞŢšžŠŽŸýÝþÞðÐЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕїѐ")
+
+
+def _impossible(text: str) -> float:
+    """Oddity without the letters that are rare only."""
+    return oddity(text) - sum(len(m.group()) for m in _ODD.finditer(text) if m.group() in _RARE)
+
+
+def _undo_line(line: str, votes: Counter, known: list, partly: set | None = None) -> str:
+    """A line decoded again under the pair that leaves the fewest oddities; if none leaves far fewer, with only those
+    words decoded again that hold what cannot be right and get far less odd, and the line itself if there are none.
+    partly: the lines so made, as what is left in them stays; None for no such lines.  known: pairs that the text's other lines were garbled by, which are tried first."""
     before = oddity(line)
     best, best_rank, pair = line, (before, 0), None
+    some, some_rank = line, (_impossible(line), 0)
     seen = {line}  # readers often agree on the characters of a line
     words = re.split(r"(\s+)", line)
     odd = [k for k, w in enumerate(words) if oddity(w)]
@@ -439,6 +450,11 @@ def _undo_line(line: str, votes: Counter, known: list) -> str:
             for k in odd:
                 parts[k] = _redecode(words[k], writer, reader) or words[k]
             tries.append("".join(parts))
+            for k in odd if partly is not None else ():  # the rest may hold rare letters rightly
+                if parts[k] == words[k] or _impossible(parts[k]) >= _impossible(words[k]) or oddity(parts[k]) > 0.6 * oddity(words[k]):
+                    parts[k] = words[k]
+            if (rank := (_impossible(line_now := "".join(parts)), -n)) < some_rank:
+                some, some_rank = line_now, rank
         elif writer in WIDE or writer == "utf_8":
 
             def swap(m: re.Match) -> str:
@@ -459,12 +475,51 @@ def _undo_line(line: str, votes: Counter, known: list) -> str:
             if rank < best_rank:
                 best, best_rank, pair = new, rank, (writer, reader)
     if best_rank[0] > 0.6 * before:
+        if partly is not None and some != line:
+            partly.add(some)
+            return some
         return line
     if pair and pair not in known:
         known.append(pair)
     return best
 
 
+_BESIDE = 4  # characters beside a sequence that its oddity may depend on
+
+
+def _garbled(text: str) -> bool:
+    """Whether a text holds garbled sequences, uncited, that some pair reads as less odd than they stand, be it with
+    characters lost.  Each place is judged by itself, whether the rest of its line can be restored or not."""
+    spans: dict[tuple, list[list[int]]] = {}
+    for start, end, readers, pairs in matches(text):
+        if _cited(text, start, end):
+            continue
+        for pair in (*(("utf_8", r) for r in readers), *pairs):
+            own = spans.setdefault(pair, [])
+            if own and start <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], end)
+            else:
+                own.append([start, end])
+    judged: dict[tuple[int, int], float] = {}  # most spans have many pairs
+    for (writer, reader), own in spans.items():
+        for start, end in own:
+            left, right = text[max(0, start - _BESIDE) : start], text[end : end + _BESIDE]
+            beside = left, right
+            if (start, end) not in judged:
+                judged[start, end] = oddity(left + text[start:end] + right)
+            if not judged[start, end] or (data := _as_bytes(text[start:end], reader)) is None:
+                continue
+            if writer not in WIDE and writer != "utf_8":
+                new = _redecode(text[start:end], writer, reader) or ""
+                # What stands beside it was read by the same reader.
+                beside = tuple("".join(_redecode(c, writer, reader) or c for c in x) for x in beside)
+            else:
+                new = re.sub("�+", "�", data.decode(writer, "replace"))
+            if new and oddity(beside[0] + new + beside[1]) < judged[start, end]:
+                return True
+    return False
+
+
 def _split_hits(text: str) -> tuple[dict[int, tuple], list[tuple[int, tuple]]]:
     """Of a text: UTF-8 readers by position, and positions and pairs of the other sequences."""
     utf8: dict[int, tuple] = {}
@@ -479,7 +534,7 @@ def _split_hits(text: str) -> tuple[dict[int, tuple], list[tuple[int, tuple]]]:
     return utf8, other
 
 
-def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list) -> str:
+def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, partly: set, first: bool) -> str:
     """A line without what garbled sequences can be undone in it; damage on damage included."""
     new = line
     for _ in range(4):
@@ -488,11 +543,11 @@ def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list) ->
             break
         new = again
         utf8 = _split_hits(new)[0]
-    if pairs and (left := oddity(new)):
+    if pairs and line not in partly and (left := oddity(new)):
         votes: Counter = Counter()
         for p in pairs:
             votes.update(p)
-        other = _undo_line(line, votes, known)
+        other = _undo_line(line, votes, known, partly if first and new == line else None)
         if other != line and oddity(other) < left:
             return other
     return new
@@ -506,8 +561,8 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     """Whether a text is damaged, and the text as far as it can be had back."""
     if not text or text.isascii():
         return False, text
-    damaged, known = "�" in text, []
-    for _ in range(3):
+    damaged, known, partly = "�" in text, [], set()
+    for turn in range(3):
         utf8, other = _split_hits(text)
         out, at, starts, k, j = [], 0, sorted({*utf8, *(i for i, _ in other)}), 0, 0
         while k < len(starts):  # line by line, as damage seldom goes beyond
@@ -522,7 +577,7 @@ def restore(text: str | None) -> tuple[bool, str | None]:
             while j < len(other) and other[j][0] <= stop:
                 pairs.append(other[j][1])
                 j += 1
-            out += [text[at:begin], _undo(text[begin:stop], own, pairs, known)]
+            out += [text[at:begin], _undo(text[begin:stop], own, pairs, known, partly, turn == 0)]
             at = stop
         out.append(text[at:])
         new = "".join(out)
@@ -531,7 +586,8 @@ def restore(text: str | None) -> tuple[bool, str | None]:
         damaged, text = True, new
     # C1 controls are no text (U+0085 is a line's end in some systems), nor is a mark's first byte left alone.
     damaged = damaged or _CONTROL.search(text) is not None or "â" in text and _TORN.search(text) is not None
-    return damaged, text
+    # Damage that no reading of its line undoes is damage all the same.
+    return damaged or _garbled(text), text
 
 
 def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

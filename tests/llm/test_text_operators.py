@@ -162,6 +162,21 @@ def test_right_text_stays(text):
     assert mojibake.restore(text) == (False, text)
 
 
+DVORAK = "Dvořák, Jiří, Hašek, Čapek, Škvorecký, Novák, Černý, Růžička, Dvořáček: "
+
+
+@pytest.mark.parametrize("writer,reader,text", [("cp1252", "cp1251", "Il était très près"), ("cp1252", "mac_roman", "Il était très près, l’été."), ("mac_roman", "cp1252", "Il était très près")])
+def test_damage_beside_rare_letters(writer, reader, text):
+    found, back = mojibake.restore(DVORAK + "Київ їх її єдина їжа " + misread(text, writer, reader))
+    assert found
+    assert back.startswith(DVORAK) and "très près" in back
+
+
+def test_capitals_beside_an_accent():
+    assert mojibake.restore("ALL BELONGED TO JÉRÔME FALWELD, LATE OF QUILLHAVEN")[0] is False
+    assert mojibake.restore("Gül şöyle dedi")[0] is False
+
+
 def test_lost_characters():
     assert mojibake.restore("You�d have said") == (True, "You�d have said")
 
