@@ -421,20 +421,37 @@ def _impossible(text: str) -> float:
     return oddity(text) - sum(len(m.group()) for m in _ODD.finditer(text) if m.group() in _RARE)
 
 
-def _undo_line(line: str, votes: Counter, known: list, partly: set | None = None) -> str:
+_SURE = 40  # pairs with most votes
+
+
+def _undo_line(line: str, votes: Counter, known: list, partly: set | None = None, wait: list | None = None) -> str:
     """A line decoded again under the pair that leaves the fewest oddities; if none leaves far fewer, with only those
     words decoded again that hold what cannot be right and get far less odd, and the line itself if there are none.
-    partly: the lines so made, as what is left in them stays; None for no such lines.  known: pairs that the text's other lines were garbled by, which are tried first."""
+    All pairs with votes are tried, readers that agree on the line's characters once.
+
+    known: pairs that the text's other lines were garbled by, tried first where they have votes, else last.  partly: the
+    lines decoded in part, as what is left in them stays; None for no such lines.  wait: takes the lines whose best
+    reading leaves oddities and is by a pair of few votes; they stay until the other lines have told their pairs; None
+    to wait no more."""
     before = oddity(line)
     best, best_rank, pair = line, (before, 0), None
     some, some_rank = line, (_impossible(line), 0)
     seen = {line}  # readers often agree on the characters of a line
     words = re.split(r"(\s+)", line)
     odd = [k for k, w in enumerate(words) if oddity(w)]
-    order = [p for p in known if p in votes] + [p for p, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])) if p not in known]
-    for writer, reader in order[:40]:
+    voted = [p for p, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])) if p not in known]
+    order = [p for p in known if p in votes] + voted + [p for p in known if p not in votes]
+    own = [c for c in sorted(set(line)) if c > "\x7f"]
+    tried = set()
+    for writer, reader in order:
         if best_rank[0] == 0:
             break
+        # Readers that agree on all characters of the line make the same of it: the one with most votes stands for all.
+        if reader not in WIDE:
+            same = writer, tuple(map(_writes(reader).get, own))
+            if same in tried:
+                continue
+            tried.add(same)
         n = votes[writer, reader]
         tries = []
         whole = _redecode(line, writer, reader)
@@ -474,6 +491,9 @@ def _undo_line(line: str, votes: Counter, known: list, partly: set | None = None
             rank = (oddity(new), -n)
             if rank < best_rank:
                 best, best_rank, pair = new, rank, (writer, reader)
+    if wait is not None and 0 < best_rank[0] <= 0.6 * before and pair in order[_SURE:]:
+        wait.append(line)
+        return line
     if best_rank[0] > 0.6 * before:
         if partly is not None and some != line:
             partly.add(some)
@@ -534,7 +554,7 @@ def _split_hits(text: str) -> tuple[dict[int, tuple], list[tuple[int, tuple]]]:
     return utf8, other
 
 
-def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, partly: set, first: bool) -> str:
+def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, partly: set, wait: list | None) -> str:
     """A line without what garbled sequences can be undone in it; damage on damage included."""
     new = line
     for _ in range(4):
@@ -547,7 +567,7 @@ def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, pa
         votes: Counter = Counter()
         for p in pairs:
             votes.update(p)
-        other = _undo_line(line, votes, known, partly if first and new == line else None)
+        other = _undo_line(line, votes, known, partly if wait is not None and new == line else None, wait)
         if other != line and oddity(other) < left:
             return other
     return new
@@ -562,7 +582,8 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     if not text or text.isascii():
         return False, text
     damaged, known, partly = "�" in text, [], set()
-    for turn in range(3):
+    wait: list | None = []
+    for _ in range(4):
         utf8, other = _split_hits(text)
         out, at, starts, k, j = [], 0, sorted({*utf8, *(i for i, _ in other)}), 0, 0
         while k < len(starts):  # line by line, as damage seldom goes beyond
@@ -577,13 +598,13 @@ def restore(text: str | None) -> tuple[bool, str | None]:
             while j < len(other) and other[j][0] <= stop:
                 pairs.append(other[j][1])
                 j += 1
-            out += [text[at:begin], _undo(text[begin:stop], own, pairs, known, partly, turn == 0)]
+            out += [text[at:begin], _undo(text[begin:stop], own, pairs, known, partly, wait)]
             at = stop
         out.append(text[at:])
         new = "".join(out)
-        if new == text:
+        if new == text and not wait:
             break
-        damaged, text = True, new
+        damaged, text, wait = damaged or new != text, new, None
     # C1 controls are no text (U+0085 is a line's end in some systems), nor is a mark's first byte left alone.
     damaged = damaged or _CONTROL.search(text) is not None or "â" in text and _TORN.search(text) is not None
     # Damage that no reading of its line undoes is damage all the same.

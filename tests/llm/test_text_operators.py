@@ -172,6 +172,11 @@ def test_damage_beside_rare_letters(writer, reader, text):
     assert back.startswith(DVORAK) and "très près" in back
 
 
+@pytest.mark.parametrize("text", ["方雨生望着江面。1798年以后，没有人再见过那细长的钟楼。", "牌子上写着‘止步！’两个字，云寻秋慢慢走下楼梯。沈雨水把旧水井放在账本旁边，望着江面。", "那真的是北塘口的灯笼吗？陆望月把空荡荡的茶壶放在灯笼旁边，数着铜钱。"])
+def test_pairs_of_few_votes_are_tried(text):
+    assert mojibake.restore(misread(text, "gbk", "cp1252")) == (True, text)
+
+
 def test_capitals_beside_an_accent():
     assert mojibake.restore("ALL BELONGED TO JÉRÔME FALWELD, LATE OF QUILLHAVEN")[0] is False
     assert mojibake.restore("Gül şöyle dedi")[0] is False
