@@ -429,7 +429,7 @@ def _one_gender(links: DataFrame, ids: DataFrame) -> DataFrame:
     return links.join(gone.distinct(), ["book_id", "a", "b"], "left_anti")
 
 
-def star_clusters(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def star_clusters(links: DataFrame) -> DataFrame:
     """(book_id, id, star) of every id with a link.  Of the ids not yet in a cluster, one that has more links to such
     than all its neighbours is a star; its free neighbours join it, each the star with most links.  So on until none is
     left.  links: book_id, a, b, once each."""
@@ -438,7 +438,7 @@ def star_clusters(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     )
     free = materialize(both, "free")
     parts = []
-    for _ in range(most_rounds):
+    while True:  # every round takes at least one star, that of most links, and its neighbours out of each component
         degree = free.groupBy("book_id", "id").agg(F.struct(F.count("*").alias("n"), F.col("id").alias("key")).alias("weight"))
         other = degree.select("book_id", F.col("id").alias("other"), F.col("weight").alias("other_weight"))
         seen = free.join(other, ["book_id", "other"])

@@ -102,6 +102,13 @@ def test_star_clusters(spark):
     assert {got[k] for k in "acde"} == {"c"} and got["x"] == got["y"] and got["f"] == got["g"] != "c"
 
 
+def test_star_clusters_of_a_long_chain(spark):
+    ids = [f"i{k:03}" for k in range(158)]
+    links = [("b", a, b) for a, b in zip(ids, ids[1:])]
+    got = {r["id"] for r in names.star_clusters(spark.createDataFrame(links, "book_id string, a string, b string")).collect()}
+    assert not [(a, b) for _, a, b in links if a not in got and b not in got]
+
+
 EQUAL = [
     ("en", "Samuеl", "Samuel"), ("en", "Con‎n­ie", "Connie"), ("en", "Ｆ. Thorn", "F. Thorn"), ("en", "a b c", "a b c"), ("en", "Oﬆtide", "Osttide"), ("fr", "fête", "fête"), ("ru", "Пeтp", "Пётр".replace("ё", "е")),
     ("ru", "Фёдор", "Фёдор"), ("zh", "⽯桥，好", "石桥，好"), ("ja", "ひど", "ひど"), ("en", "wait;", "wait;"), ("en", "Kit", "Kit"), ("hi", "7６", "76"), ("en", "well‐known", "well-known"),
