@@ -331,9 +331,8 @@ def short_forms(forms: DataFrame, least_books: int = 2) -> DataFrame:
     counted = both.groupBy("a", "b").agg(F.count_distinct("book_id").alias("books")).where(F.col("books") >= least_books)
     counted = counted.unionByName(beside).unionByName(beside.select(F.col("b").alias("a"), F.col("a").alias("b"), "books"))
     counted = counted.groupBy("a", "b").agg(F.max("books").alias("books"))
-    return counted.groupBy(F.col("a").alias("word")).agg(
-        F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("books", "b")))), 1, 8)["b"].alias("full")
-    )
+    # All of them, the commonest first.
+    return counted.groupBy(F.col("a").alias("word")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("books", "b"))))["b"].alias("full"))
 
 
 def candidate_forms(forms: DataFrame, similarity: float = 0.35, recall: float = 0.985, rows: int = 2) -> DataFrame:

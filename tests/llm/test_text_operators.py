@@ -78,6 +78,13 @@ def test_short_forms_gender_and_dirt(spark):
     assert names.same_person_pairs(spark.createDataFrame([], KINDS)).count() == 0
 
 
+def test_all_longer_forms_are_kept(spark):
+    long = ["Joan", "Joanna", "Joel", "Jonah", "Jonas", "Joseph", "Josiah", "Joshua", "Josephine", "Jolene"]
+    rows = [(f"b{k}", n, f"{n} Wexmont", ["Jo Wexmont"], None, None) for k in range(2) for n in long]
+    full = {r["word"]: set(r["full"]) for r in names.short_forms(names.entry_forms(spark.createDataFrame(rows, KINDS))[0]).collect()}
+    assert full["jo"] == {n.lower() for n in long}
+
+
 def test_bands_meet_as_the_curve_says():
     b = names.bands_for(0.35, 0.985, 2)
     assert 1 - (1 - 0.35**2) ** b >= 0.985 > 1 - (1 - 0.35**2) ** (b - 1)
