@@ -77,7 +77,8 @@ def html_to_text(spark, d):
 
 @query
 def chapter_filter(spark, d):
-    """Documents with a heading, numbered anew in the order of their book."""
+    """Documents with a heading, numbered anew in the order of their book.  Headings are known by the words chapter,
+    chapitre, kapitel and capítulo: texts in en, fr, de and es are kept, those in ru, zh, ja, hi and th are not."""
     from pyspark.sql import Window
 
     headed = F.regexp_extract(F.regexp_extract("text", r"^[^\n]*", 0), r"(?i)^((?:chapter|chapitre|kapitel|capítulo)\s.*)", 1)
