@@ -32,6 +32,10 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(table(spark, d, "cast_members"), table(spark, d, "profile_trust"))
 
 
+def p2_by_weight(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.cast_by_weight(table(spark, d, "cast_members"), table(spark, d, "profile_trust"))
+
+
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     chapters = table(spark, d, "chapters").select(F.lit("chapters").alias("tbl"), F.col("chapter_id").alias("row_key"), "text")
     segments = table(spark, d, "script_segments").select(F.lit("script_segments").alias("tbl"), F.col("seg_key").alias("row_key"), "text")
@@ -88,7 +92,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p3_found, p3_sentences, p4_found, p4_persons, p5_found, p5_canonical, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_survivors, p2_by_weight, p3_found, p3_sentences, p4_found, p4_persons, p5_found, p5_canonical, p6_ids, p7_mix, p7_shares, p8_found, p8_restored)
 }
 
 ORACLE: dict[str, str] = {

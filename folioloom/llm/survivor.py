@@ -1,17 +1,21 @@
 """Problem 2: the best value of each field in a group of duplicate records.
 
 The method is consensus over tokens.  The usable values of a group, as sequences of tokens, are aligned one after
-another, the weightiest first, with a profile (Needleman-Wunsch; a profile's column holds the votes of the values that
-have a token there).  Each column is won by the token, or the gap, with most votes, and the existing value closest to
-that consensus survives; ties go to the value of higher priority.
-
-Two policies weigh the votes.  ``additive``: a token's votes are the sum of its values' weights.  ``dominant``: a value
-outweighs all values of lower priority together, so a token's vote is the highest priority that speaks for it; that is
-the weighing under which consensus follows a rule of preference such as "the latest" or "the most complete".
-
-Equal values of a group are counted first, before any shuffle of rows.  Values are then spread over 256 blocks a group;
-each block makes a profile, the profiles of a group are aligned with each other, and the consensus goes back to the
-blocks for the choice, so that a group with a third of all rows never comes into one task.
+another with a profile (an alignment of most matching columns, by bit-parallel longest common subsequences).  Each
+column is won by the token, or the gap, with most votes, and the existing value closest to that consensus survives;
+ties go to the value of higher rank, then to the larger entry.
+
+Two policies weigh the votes.  ``dominant``: a value outweighs all values of lower rank together, so a column's winner
+is what the highest rank behind it says; that is the weighing under which consensus follows a rule of preference such
+as "the latest" or "the most complete".  A column that the gap won can never win again and is dropped, so a profile is
+never wider than a value.  A part of a group keeps its profile and its closest value, and parts merge in any order: the
+value closest to the whole consensus is, of its part, the closest one.  ``additive``: a token's votes are the sum of
+its values' weights.  Parts keep the columns with at least 1 / RARE of their weight, so a column that more than a half
+and 1 / RARE of all weight has always wins; the consensus goes back to all values for the choice.
+
+Rows are parted by group, and partitions that are too large are split whatever groups they hold; a task reads sorted
+rows and keeps one profile, never a group.  A group with a third of all rows is folded in many tasks, and only their
+profiles, one a task, meet.
 
 Defined results: a group without a usable value of a field has no row for it; a null key is a key like any other;
 repeated rows are rows like any other; an empty table gives an empty result.
@@ -19,277 +23,355 @@ repeated rows are rows like any other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCKS = 256
+RARE = 64
 # What stands for "no value" when people or models fill in a form; fixed values.
 EMPTY_WORDS = ("", "none", "unknown", "not stated", "n/a", "na", "null", "-", "–", "—", "?", "??", "...", "…")
+# White space of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+_SEP = "\x1f"
 
-_VALUE = "struct<tokens:array<string>,rank:array<double>,weight:double,entry:bigint>"
-_COLUMN = "struct<tokens:array<string>,ranks:array<array<double>>,weights:array<double>>"
+
+def _trim(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
 
 
 def usable(text: Column) -> Column:
     """Whether a text says anything."""
-    return text.isNotNull() & ~F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).isin(*EMPTY_WORDS)
-
-
-# ---- alignment (plain Python, in Arrow batches) ----
-
-Profile = list[dict]  # columns: token (None: gap) -> (highest rank, weight)
-
-
-def as_profile(value: dict) -> Profile:
-    vote = (tuple(value["rank"]), value["weight"])
-    return [{t: vote} for t in value["tokens"]]
-
-
-def _shared(a: dict, b: dict) -> float:
-    """Share of the columns' votes on which they agree."""
-    total = sum(w for _, w in a.values()) * sum(w for _, w in b.values())
-    return sum(w * b[t][1] for t, (_, w) in a.items() if t is not None and t in b) / total if total else 0.0
-
-
-def _joined(a: dict, b: dict) -> dict:
-    out = dict(a)
-    for t, (rank, w) in b.items():
-        old = out.get(t)
-        out[t] = (rank, w) if old is None else (max(old[0], rank), old[1] + w)
-    return out
-
-
-def _all(profile: Profile) -> tuple:
-    """Highest rank and full weight behind a profile: what a gap beside it is worth."""
-    votes = list(profile[0].values())
-    return max(r for r, _ in votes), sum(w for _, w in votes)
-
-
-def align(a: Profile, b: Profile) -> Profile:
-    """Two profiles as one: matching columns joined, the others beside gaps."""
-    if not a or not b:
-        return a or b
-    n, m = len(a), len(b)
-    score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            same = _shared(a[i], b[j])
-            score[i][j] = max(score[i + 1][j], score[i][j + 1], score[i + 1][j + 1] + same if same > 0 else -1.0)
-    gap_a, gap_b = {None: _all(a)}, {None: _all(b)}
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and (same := _shared(a[i], b[j])) > 0 and score[i][j] == score[i + 1][j + 1] + same:
-            out.append(_joined(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and score[i][j] == score[i + 1][j]:
-            out.append(_joined(a[i], gap_b))
-            i += 1
+    return text.isNotNull() & ~F.lower(_trim(text)).isin(*EMPTY_WORDS)
+
+
+# ---- alignment ----
+
+
+def aligned(a: Sequence[set | frozenset], b: Sequence[set | frozenset]) -> list[tuple[int | None, int | None]]:
+    """Columns of two sequences in one order, each pair (place in a, place in b), None where a sequence has a gap.  Two
+    columns match if they share a token; as many match as can in order."""
+    n = len(a)
+    where: dict[str, int] = {}
+    for i, tokens in enumerate(a):
+        for t in tokens:
+            where[t] = where.get(t, 0) | 1 << i
+    full = (1 << n) - 1
+    v, rows = full, []
+    for tokens in b:
+        m = 0
+        for t in tokens:
+            m |= where.get(t, 0)
+        u = v & m
+        v = (v + u | v - u) & full
+        rows.append(v)
+    out: list[tuple[int | None, int | None]] = []
+    i, j = n, len(b)
+    while i and j:
+        if rows[j - 1] >> i - 1 & 1:
+            i -= 1
+            out.append((i, None))
         else:
-            out.append(_joined(gap_a, b[j]))
-            j += 1
-    return out
-
-
-def consensus(profile: Profile, policy: str) -> list[str]:
-    """The winning token of each column, gaps left out."""
-    by = (lambda v: v[0]) if policy == "dominant" else (lambda v: (v[1], v[0]))
-    won = [max(c.items(), key=lambda x: (by(x[1]), x[0] is not None, x[0] or ""))[0] for c in profile]
-    return [t for t in won if t is not None]
+            j -= 1
+            if j and not rows[j - 1] >> i - 1 & 1:
+                out.append((None, j))
+            else:
+                i -= 1
+                out.append((i, j))
+    out += [(k, None) for k in range(i - 1, -1, -1)] + [(None, k) for k in range(j - 1, -1, -1)]
+    return out[::-1]
 
 
 def distance(a: Sequence[str], b: Sequence[str]) -> int:
     """Tokens to be dropped and added to make one sequence of the other."""
-    if list(a) == list(b):
+    if a == b:
         return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
-    return row[-1]
-
-
-def progressive(values: list[dict]) -> Profile:
-    """All values of a block as one profile, aligned in order of weight and rank."""
-    out: Profile = []
-    for v in sorted(values, key=lambda v: (v["rank"], v["weight"], v["tokens"]), reverse=True):
-        out = align(out, as_profile(v))
+    return sum(i is None or j is None for i, j in aligned([{t} for t in a], [{t} for t in b]))
+
+
+# ---- the dominant policy: a part is (consensus, its rank, closest value, that value's rank and entry) ----
+
+Part = tuple[list[str], tuple, list[str], tuple]
+
+
+def as_part(tokens: list[str], rank: tuple) -> Part:
+    """A single value; rank ends with the entry."""
+    return tokens, rank, tokens, rank
+
+
+def merged(a: Part, b: Part) -> Part:
+    """Two parts as one: profiles aligned, each column voted on, the value kept that is closer to the consensus."""
+    (ta, ra, va, ka), (tb, rb, vb, kb) = a, b
+    if ta == tb:
+        agreed = ta
+    else:
+        agreed = []
+        for i, j in aligned([(t,) for t in ta], [(t,) for t in tb]):
+            if j is None:
+                if ra > rb:  # against the gap of the other part
+                    agreed.append(ta[i])
+            elif i is None:
+                if rb > ra:
+                    agreed.append(tb[j])
+            else:
+                agreed.append(ta[i])
+    far_a, far_b = distance(va, agreed), distance(vb, agreed)
+    value, own = (va, ka) if far_a < far_b or far_a == far_b and ka >= kb else (vb, kb)
+    return agreed, max(ra, rb), value, own
+
+
+# ---- the additive policy: a profile is (columns as token -> weight, full weight) ----
+
+Profile = tuple[list[dict[str, float]], float]
+
+
+def joined(a: Profile, b: Profile) -> Profile:
+    """Two profiles as one, rare columns left out."""
+    (ca, wa), (cb, wb) = a, b
+    total, columns = wa + wb, []
+    for i, j in aligned([c.keys() for c in ca], [c.keys() for c in cb]):
+        column = dict(ca[i]) if i is not None else {}
+        if j is not None:
+            for t, w in cb[j].items():
+                column[t] = column.get(t, 0.0) + w
+        if sum(column.values()) * RARE >= total:
+            columns.append(column)
+    return columns, total
+
+
+def consensus(profile: Profile) -> list[str]:
+    """The winning token of each column, gaps left out; a token wins a draw with the gap."""
+    columns, total = profile
+    out = []
+    for column in columns:
+        token, weight = max(column.items(), key=lambda x: (x[1], x[0]))
+        if weight >= total - sum(column.values()):
+            out.append(token)
     return out
 
 
-def _pack(profile: Profile) -> list[dict]:
-    return [
-        {"tokens": list(c), "ranks": [list(r) for r, _ in c.values()], "weights": [w for _, w in c.values()]} for c in profile
-    ]
+# ---- both over data ----
 
 
-def _unpack(packed: list[dict]) -> Profile:
-    return [{t: (tuple(r), w) for t, r, w in zip(c["tokens"], c["ranks"], c["weights"])} for c in packed]
+def _parted(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows sorted by group within tasks; a large group may lie in several."""
+    return rows.hint("rebalance", *[F.col(c) for c in group]).sortWithinPartitions(*group)
 
 
-def _schema(kinds: list[T.StructField], *more: str) -> T.StructType:
-    return T.StructType([*kinds, *T.StructType.fromDDL(", ".join(more)).fields])
+def _by_group(batches: Iterator[pa.RecordBatch], n: int, add, make, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Folds runs of equal keys (the first n columns).  add(state, row) -> state; make(key, state) -> output rows."""
+    held, state, out = None, None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns):
+            key = row[:n]
+            if key != held or state is None:
+                if state is not None:
+                    out += make(held, state)
+                held, state = key, None
+            state = add(state, row)
+        if len(out) > 5000:
+            yield _batch(out, schema)
+            out = []
+    if state is not None:
+        out += make(held, state)
+    if out:
+        yield _batch(out, schema)
 
 
-def choose(values: DataFrame, group: list[str], policy: str = "dominant") -> DataFrame:
-    """(group, entry): of each group the entry whose value is closest to the group's consensus.
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    values: the group's columns and `tokens` ARRAY<STRING>, `rank` ARRAY<DOUBLE> (priority, compared item by item),
-    `weight` DOUBLE, `entry` BIGINT.  Values without tokens do not compete.
+
+def choose(values: DataFrame, group: Sequence[str], fields: Sequence[str], rank: Sequence[str] = (), entry: str = "entry") -> DataFrame:
+    """(group, records, field, entry): of each group and field the entry whose value is closest to the consensus under
+    the dominant policy.  records: rows of the group.
+
+    values: the group's columns, `entry`, the columns `rank` (compared in order), and for each field its tokens,
+    ARRAY<STRING> (null or empty: does not compete), and f"{field}_score", compared before `rank`.
     """
-    if policy not in ("dominant", "additive"):
-        raise ValueError("policy: dominant or additive")
+    kinds = [values.schema[c] for c in group]
+    n, f, r = len(group), len(fields), len(rank) + 2
+    own = [f"k{i}" for i in range(n)]
+    key = T.LongType()
+    ranks = [values.schema[c].dataType for c in rank]
+    # One part a field: its consensus, its rank, the closest value and that value's rank.  As the parts of single values
+    # are written as the values they are, the first pass reads what the second does.
+    part = [T.StructField("records", T.LongType())]
+    for i in range(f):
+        score = values.schema[f"{fields[i]}_score"].dataType
+        part += [T.StructField(f"t{i}", T.StringType())]
+        part += [T.StructField(f"r{i}_{k}", t) for k, t in enumerate([score, *ranks, key])]
+    schema = T.StructType([T.StructField(k, s.dataType) for k, s in zip(own, kinds)] + part)
+    width = 1 + r
+    nothing = (None,) * width
+
+    def add(state, row):
+        if state is None:
+            state = [0, [None] * f]
+        state[0] += row[n]
+        parts = state[1]
+        for i in range(f):
+            at = n + 1 + i * width
+            if row[at] is not None:
+                new = as_part(row[at].split(_SEP), row[at + 1 : at + width])
+                parts[i] = new if parts[i] is None else merged(parts[i], new)
+        return state
+
+    def partial(key, state):
+        row = (*key, state[0])
+        for p in state[1]:
+            # Under this policy a part's consensus is its closest value, so one sequence stands for both.
+            row += nothing if p is None else (_SEP.join(p[2]), *p[3])
+        return [row]
+
+    chosen = T.StructType([*schema.fields[:n], T.StructField("records", T.LongType()), T.StructField("field", T.StringType()), T.StructField("entry", key)])
+    part_arrow, chosen_arrow = to_arrow_schema(schema), to_arrow_schema(chosen)
+
+    def final(key, state):
+        return [(*key, state[0], fields[i], p[3][-1]) for i, p in enumerate(state[1]) if p is not None]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_group(batches, n, add, partial, part_arrow)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_group(batches, n, add, final, chosen_arrow)
+
+    columns = [F.col(c).alias(k) for c, k in zip(group, own)] + [F.lit(1).cast("bigint").alias("records")]
+    for i, name in enumerate(fields):
+        said = F.size(F.coalesce(name, F.array().cast("array<string>"))) > 0
+        columns.append(F.when(said, F.array_join(F.transform(name, lambda x: F.translate(x, _SEP, " ")), _SEP)).alias(f"t{i}"))
+        columns += [F.col(c).cast(s.dataType).alias(s.name) for c, s in zip([f"{name}_score", *rank, entry], [schema[f"r{i}_{k}"] for k in range(r)])]
+    parts = _parted(values.select(*columns), own).mapInArrow(first, schema)
+    # Parts of a group come together here; nearly all groups have one.
+    done = parts.repartition(*own).sortWithinPartitions(*own).mapInArrow(second, chosen)
+    return done.select(*[F.col(k).alias(c) for k, c in zip(own, group)], "records", "field", F.col("entry"))
+
+
+def choose_by_weight(values: DataFrame, group: Sequence[str], tokens: str = "tokens", weight: str = "weight", entry: str = "entry") -> DataFrame:
+    """(group, entry): of each group the entry whose value is closest to the consensus under the additive policy; ties
+    go to the larger entry."""
     kinds = [values.schema[c] for c in group]
     n = len(group)
-    # Equal values are one, with the highest rank among them and all their weight.
-    single = (
-        values.where(F.size("tokens") > 0)
-        .groupBy(*group, "tokens")
-        .agg(F.max(F.struct("rank", "entry")).alias("_top"), F.sum("weight").alias("weight"))
-    )
-    value = F.struct("tokens", F.col("_top.rank").alias("rank"), "weight", F.col("_top.entry").alias("entry"))
-    blocks = (
-        single.withColumn("_block", F.pmod(F.xxhash64("tokens"), F.lit(BLOCKS)))
-        .groupBy(*group, "_block")
-        .agg(F.collect_list(value).alias("_values"))
-    )
+    own = [f"k{i}" for i in range(n)]
+    keys = [T.StructField(k, s.dataType) for k, s in zip(own, kinds)]
+    packed = T.StructType([*keys, T.StructField("profile", T.BinaryType())])
+    agreed = T.StructType([*keys, T.StructField("agreed", T.ArrayType(T.StringType()))])
+    chosen = T.StructType([*keys, T.StructField("far", T.IntegerType()), T.StructField("entry", T.LongType())])
+    p_arrow, a_arrow, c_arrow = map(to_arrow_schema, (packed, agreed, chosen))
 
-    def from_arrow(batch: pa.RecordBatch, columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-        arrays = [batch.column(i) for i in range(n)] + [pa.array(v, schema.field(k).type) for k, v in columns.items()]
-        return pa.RecordBatch.from_arrays(arrays, names=[*group, *columns])
+    def single(state, row):
+        new = [{t: row[n + 1]} for t in row[n]], row[n + 1]
+        return new if state is None else joined(state, new)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def whole(state, row):
+        new = pickle.loads(row[n])
+        return new if state is None else joined(state, new)
 
-    profiled = _schema(kinds, f"_profile array<{_COLUMN}>")
-    agreed = _schema(kinds, "_agreed array<string>")
-    chosen = _schema(kinds, "_far int, _rank array<double>, _entry bigint")
-    p_arrow, a_arrow, c_arrow = map(to_arrow_schema, (profiled, agreed, chosen))
+    def first(batches):
+        return _by_group(batches, n, single, lambda k, s: [(*k, pickle.dumps(s))], p_arrow)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(n).to_pylist()
-            yield from_arrow(batch, {"_profile": [_pack(progressive(v)) for v in rows]}, p_arrow)
+    def second(batches):
+        return _by_group(batches, n, whole, lambda k, s: [(*k, consensus(s))], a_arrow)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for packed in batch.column(n).to_pylist():
-                parts = [p for p in map(_unpack, packed) if p]
-                whole: Profile = []
-                for p in sorted(parts, key=lambda p: (_all(p), sorted(t or "" for t in p[0])), reverse=True):
-                    whole = align(whole, p)
-                out.append(consensus(whole, policy))
-            yield from_arrow(batch, {"_agreed": out}, a_arrow)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches):
         for batch in batches:
-            best = []
-            for rows, goal in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                best.append(min(((distance(v["tokens"], goal), [-x for x in v["rank"]], -v["entry"], v) for v in rows), key=lambda x: x[:3]))
-            columns = {"_far": [b[0] for b in best], "_rank": [b[3]["rank"] for b in best], "_entry": [b[3]["entry"] for b in best]}
-            yield from_arrow(batch, columns, c_arrow)
+            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+            if rows:
+                yield _batch([(*r[:n], distance(r[n], r[n + 2]), r[n + 1]) for r in rows], c_arrow)
 
-    profiles = blocks.select(*group, "_values").mapInArrow(make, profiled)
-    goals = profiles.groupBy(*group).agg(F.collect_list("_profile").alias("_profiles")).mapInArrow(merge, agreed)
-    # A group has at most 256 rows on the blocks' side, however many records it has.
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
-    met = blocks.alias("b").join(goals.alias("g"), same).select(*[F.col(f"b.{c}").alias(c) for c in group], "_values", "_agreed")
-    nearest = F.min_by("_entry", F.struct("_far", F.transform("_rank", lambda x: -x).alias("low"), (-F.col("_entry")).alias("last")))
-    return met.mapInArrow(pick, chosen).groupBy(*group).agg(nearest.alias("entry"))
+    said = values.where(F.size(tokens) > 0).select(
+        *[F.col(c).alias(k) for c, k in zip(group, own)], F.col(tokens).alias("tokens"), F.col(weight).cast("double").alias("weight"), F.col(entry).cast("bigint").alias("entry")
+    )
+    # Equal values are one, with all their weight.
+    single_values = said.groupBy(*own, "tokens").agg(F.sum("weight").alias("weight"), F.max("entry").alias("entry"))
+    parts = _parted(single_values.select(*own, "tokens", "weight"), own).mapInArrow(first, packed)
+    goals = parts.repartition(*own).sortWithinPartitions(*own).mapInArrow(second, agreed)
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"g.{k}")) for k in own]
+    met = single_values.alias("v").join(goals.alias("g"), same).select(*[F.col(f"v.{k}").alias(k) for k in own], "tokens", "entry", "agreed")
+    best = F.min_by("entry", F.struct(F.col("far"), (-F.col("entry")).alias("last"))).alias("entry")
+    return met.mapInArrow(pick, chosen).groupBy(*own).agg(best).select(*[F.col(k).alias(c) for k, c in zip(own, group)], "entry")
 
 
 # ---- the fields of a cast's entries ----
 
-
-def _micros(at: Column) -> Column:
-    return F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(-(1 << 52))).cast("double")
-
-
-def _said(entries: Column) -> Column:
-    return F.filter(F.coalesce(entries, F.array().cast("array<string>")), usable)
-
-
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+FIELDS = ("aliases", "evidence", "notes", "persona")
+_NONE = "array<string>"
 
 
 def cast_values(cast: DataFrame, trust: DataFrame, most_profiles: int = 10_000) -> DataFrame:
-    """(book_id, id, field, tokens, rank, weight, entry) of the fields aliases, evidence, notes and persona.
+    """(book_id, id, entry, at) and, for aliases, evidence, notes and persona, the tokens and the score that the field is
+    chosen by.
 
     A field's tokens are what can be read in it and says something: the distinct aliases; the pieces of evidence
-    without their chapter; notes as key=entry; a persona's members, if it is a JSON object, as key=value.  Its rank is
-    what the field is chosen by (aliases and keys counted, nothing, the trust of the profile), then the later
-    updated_at; a null profile or one without trust ranks last.
+    without their chapter; notes as key=entry; a persona's members, if it is a JSON object, as key=value.  The scores
+    are: aliases and keys counted, nothing for evidence, the trust of the profile (a null profile or one without trust
+    ranks last).  at: updated_at in microseconds, null before all.
     """
     found = trust.select("profile", "trust").limit(most_profiles + 1)
     if found.count() > most_profiles:
         raise ValueError(f"more than {most_profiles} profiles")
     profiles = found.where(F.col("profile").isNotNull()).groupBy("profile").agg(F.max("trust").alias("trust"))
-    rows = cast.select(
-        "book_id", "id", "entry_id", "aliases", "evidence", "notes", "persona", "profile", "updated_at"
-    ).join(F.broadcast(profiles), "profile", "left")
-    aliases = F.array_distinct(F.transform(_said(F.col("aliases")), _trim))
-    bare = F.transform(
-        F.coalesce("evidence", F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"(?U)^\s*ch\d+:\s*", "")
+    rows = cast.select("book_id", "id", "entry_id", "aliases", "evidence", "notes", "persona", "profile", "updated_at").join(
+        F.broadcast(profiles), "profile", "left"
     )
-    evidence = F.transform(_said(bare), _trim)
-    notes_map = F.transform_values(F.coalesce("notes", F.create_map().cast("map<string,array<string>>")), lambda k, v: _said(v))
-    notes_map = F.map_filter(notes_map, lambda k, v: F.size(v) > 0)
-    notes = F.transform(
-        F.array_sort(F.map_keys(notes_map)), lambda k: F.concat(k, F.lit("="), F.array_join(F.element_at(notes_map, k), "|"))
+    told = lambda x: x.isNotNull() & ~F.lower(x).isin(*EMPTY_WORDS)  # noqa: E731  of trimmed texts
+    said = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast(_NONE)), _trim), told)
+    bare = F.transform("evidence", lambda x: F.regexp_replace(x, r"(?U)^\s*ch\d+:\s*", ""))
+    noted = F.filter(
+        F.transform(F.array_sort(F.map_keys("notes")), lambda k: F.struct(k.alias("k"), F.array_join(said(F.element_at("notes", k)), "|").alias("v"))),
+        lambda e: e["v"] != "",
     )
     read = F.try_variant_get(F.try_parse_json("persona"), "$", "map<string,variant>")
-    members = F.transform_values(
-        F.coalesce(read, F.create_map().cast("map<string,variant>")), lambda k, v: F.try_variant_get(v, "$", "string")
+    first = rows.withColumns({"_read": read, "aliases": F.array_distinct(said(F.col("aliases"))), "evidence": said(bare), "_noted": noted})
+    members = F.transform(
+        F.array_sort(F.map_keys("_read")), lambda k: F.struct(k.alias("k"), _trim(F.try_variant_get(F.element_at("_read", k), "$", "string")).alias("v"))
     )
-    members = F.map_filter(members, lambda k, v: usable(v) & ~v.isin("[]", "{}"))
-    persona = F.transform(F.array_sort(F.map_keys(members)), lambda k: F.concat(k, F.lit("="), F.element_at(members, k)))
-    at = _micros(F.col("updated_at"))
-    entry = F.col("entry_id").cast("double")
-    trusted = F.coalesce(F.col("trust").cast("double"), F.lit(-1.0))
-    parts = [
-        ("aliases", aliases, F.size(aliases).cast("double")),
-        ("evidence", evidence, F.lit(0.0)),
-        ("notes", notes, F.size(notes).cast("double")),
-        ("persona", persona, trusted),
-    ]
-    field = F.explode(
-        F.array(*[
-            F.struct(F.lit(name).alias("field"), tokens.alias("tokens"), F.array(score, at, entry).alias("rank")) for name, tokens, score in parts
-        ])
+    kept = F.filter(members, lambda e: told(e["v"]) & ~e["v"].isin("[]", "{}"))
+    equal = lambda e: F.concat(e["k"], F.lit("="), e["v"])
+    at = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 62)))
+    out = first.withColumns({"notes": F.transform("_noted", equal), "persona": F.transform(kept, equal)})
+    return out.select(
+        "book_id", "id", F.col("entry_id").cast("bigint").alias("entry"), at.alias("at"), "aliases", "evidence", "notes", "persona",
+        F.size("aliases").cast("bigint").alias("aliases_score"), F.lit(0).cast("bigint").alias("evidence_score"),
+        F.size(F.coalesce("notes", F.array().cast(_NONE))).cast("bigint").alias("notes_score"), F.coalesce(F.col("trust").cast("bigint"), F.lit(-1)).alias("persona_score"),
     )
-    return rows.select("book_id", "id", F.col("entry_id").alias("entry"), field.alias("f")).select(
-        "book_id", "id", "f.field", "f.tokens", "f.rank", F.lit(1.0).alias("weight"), "entry"
-    )
 
 
 def cast_survivors(cast: DataFrame, trust: DataFrame) -> DataFrame:
     """(book_id, id, field, entry_id): of each id with several rows, for each field, the row whose value survives."""
+    kept = choose(cast_values(cast, trust), ["book_id", "id"], FIELDS, ["at"])
+    return kept.where("records > 1").select("book_id", "id", "field", F.col("entry").alias("entry_id"))
+
+
+def cast_by_weight(cast: DataFrame, trust: DataFrame) -> DataFrame:
+    """(book_id, id, field, entry_id): as `cast_survivors`, but each row's value has one vote, so that what most rows
+    say survives, whatever their completeness, time or trust."""
+    values = cast_values(cast, trust)
+    field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f, F.array().cast(_NONE)).alias("tokens")) for f in FIELDS]))
+    each = values.select("book_id", "id", "entry", field.alias("f")).select("book_id", "id", "f.field", "f.tokens", F.lit(1.0).alias("weight"), "entry")
     several = cast.groupBy("book_id", "id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    kept = choose(cast_values(cast, trust), ["book_id", "id", "field"])
+    kept = choose_by_weight(each, ["book_id", "id", "field"])
     same = F.col("k.book_id").eqNullSafe(F.col("s.book_id")) & F.col("k.id").eqNullSafe(F.col("s.id"))
-    return kept.alias("k").join(several.alias("s"), same, "left_semi").select(
-        "book_id", "id", "field", F.col("entry").alias("entry_id")
-    )
+    return kept.alias("k").join(several.alias("s"), same, "left_semi").select("book_id", "id", "field", F.col("entry").alias("entry_id"))
 
 
 def surviving_records(cast: DataFrame, trust: DataFrame) -> DataFrame:
     """One row for each (book_id, id): aliases, evidence, notes and persona, each from the row that serves it best;
     null where no row has a usable value."""
-    kept = choose(cast_values(cast, trust), ["book_id", "id", "field"])
-    fields = ["aliases", "evidence", "notes", "persona"]
-    source = cast.select(F.col("entry_id").alias("entry"), *fields)
+    kept = choose(cast_values(cast, trust), ["book_id", "id"], FIELDS, ["at"])
+    source = cast.select(F.col("entry_id").cast("bigint").alias("entry"), *FIELDS)
     value = kept.join(source.dropDuplicates(["entry"]), "entry")
     ids = cast.groupBy("book_id", "id").agg(F.count("*").alias("rows_merged"))
     picked = value.groupBy("book_id", "id").agg(
-        *[F.max_by(F.when(F.col("field") == f, F.col(f)), F.when(F.col("field") == f, 1)).alias(f) for f in fields],
-        *[F.max(F.when(F.col("field") == f, F.col("entry"))).alias(f"{f}_entry") for f in fields],
+        *[F.max_by(F.when(F.col("field") == f, F.col(f)), F.when(F.col("field") == f, 1)).alias(f) for f in FIELDS],
+        *[F.max(F.when(F.col("field") == f, F.col("entry"))).alias(f"{f}_entry") for f in FIELDS],
     )
     same = F.col("i.book_id").eqNullSafe(F.col("p.book_id")) & F.col("i.id").eqNullSafe(F.col("p.id"))
     return ids.alias("i").join(picked.alias("p"), same, "left").select(
-        "i.book_id", "i.id", "rows_merged", *fields, *[f"{f}_entry" for f in fields]
+        "i.book_id", "i.id", "rows_merged", *FIELDS, *[f"{f}_entry" for f in FIELDS]
     )
