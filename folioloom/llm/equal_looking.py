@@ -1,10 +1,11 @@
 """Problem 5: one consistent form for text that looks the same, in SQL.
 
-Each distinct value of a language is mapped: look-alike letters of another script, compatibility forms, odd spaces and
-invisible characters become what the reader sees.  Mapped values are grouped under an accent-sensitive Unicode
-collation, in which composed and decomposed letters are equal, too.  Of each class one canonical member is chosen, the
-one with the fewest unusual characters, ties by byte order; the mapped value itself is a candidate, so that a class
-without an ordinary member gets one.  The choice is joined back to the rows whose value is not it.
+Each value is mapped: look-alike letters of another script, compatibility forms, odd spaces and invisible characters
+become what the reader sees.  Mapped values are grouped under an accent-sensitive Unicode collation, in which composed
+and decomposed letters are equal, too.  Of each class one canonical member is chosen, the least one in byte order that
+its own mapping leaves as it is; a class without such gets its least mapped value.  The choice is joined back to the
+rows whose value is not it.  What cannot be changed by the mapping, nor be in a class with anything else, is told by
+regular expressions and hashes and goes neither through the mapping nor through the collation.
 
 Defined results: null stays null, and a null or unknown language is taken as one with Latin letters; empty and blank
 values are ordinary unless their spaces are odd ones; repeated rows are rows like any other; an empty table gives an
@@ -29,11 +30,13 @@ from folioloom.llm.lookalikes import (
     invisible,
     odd_spaces,
 )
+from folioloom.session import materialize
 
 COLLATION = "UNICODE"  # tertiary strength: accents and case tell values apart, composition and format characters do not
 _CYRILLIC_REAL = "БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯЁУбвгджзийклмнптфцчшщъыьэюяё"
 _GREEK_REAL = "ΓΔΘΛΞΠΣΦΨΩαβγδεζηθικλμξπρστυφχψωάέήίόύώϊϋ"
 _JOINERS = "‌‍"
+_TWINS = (("เเ", "แ"), ("ํา", "ำ"), ("अा", "आ"), ("एे", "ऐ"))  # fixed values: two signs that look like one
 _PICTURES = f"{chr(0x1F000)}-{chr(0x1FAFF)}"  # as characters: Java looks behind for two units only if it sees them
 _SELECTORS = "".join(map(chr, range(0xFE00, 0xFE10)))
 
@@ -135,7 +138,7 @@ def _ordinary(text: Column) -> Column:
     for a, b in (MARKS_AS_PLAIN | OTHER_AS_LATIN).items():
         if len(b) > 1:
             out = F.replace(out, F.lit(a), F.lit(b))
-    for a, b in (("เเ", "แ"), ("ํา", "ำ"), ("अा", "आ"), ("एे", "ऐ")):  # fixed values: two signs that look like one
+    for a, b in _TWINS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -160,31 +163,152 @@ def with_seen(values: DataFrame) -> DataFrame:
     return own.withColumn("seen", _composed(F.col("_own"))).drop("_first", "_plain", "_pieces", "_own")
 
 
-def canonical_forms(values: DataFrame) -> DataFrame:
-    """(lang, value, canonical) of the distinct values (lang, value); null values are left out."""
-    single = values.where(F.col("value").isNotNull()).select(F.coalesce("lang", F.lit("xx")).alias("lang"), "value").distinct()
-    seen = with_seen(single)
-    key = F.collate(F.col("seen"), COLLATION)
-    # A member that its own mapping leaves as it is has nothing unusual; a class without one gets its mapped value.
-    ordinary = F.min(F.when(F.col("value") == F.col("seen"), F.col("value")))
-    classes = seen.groupBy("lang", key.alias("class")).agg(F.coalesce(ordinary, F.min("seen")).alias("canonical"))
-    # Back to the values: mapped values that are equal by bytes are equal under the collation.
-    forms = seen.select("lang", "value", key.alias("class"))
-    return forms.join(classes, ["lang", "class"]).select("lang", "value", "canonical")
+# ---- which values need the mapping, and which can share a class ----
+
+
+def _class(chars: set[str] | str) -> str:
+    """Inside of a character class of a regular expression."""
+    points, out, k = sorted(map(ord, chars)), [], 0
+    while k < len(points):
+        first = k
+        while k + 1 < len(points) and points[k + 1] == points[k] + 1:
+            k += 1
+        out.append(f"\\x{{{points[first]:X}}}" + (f"-\\x{{{points[k]:X}}}" if k > first else ""))
+        k += 1
+    return "".join(out)
+
+
+# What most texts are made of.
+_COMMON = (
+    (0x20, 0x7E), (0x0A, 0x0A), (0xA1, 0xFF), (0x152, 0x153), (0x400, 0x45F), (0x900, 0x950), (0x958, 0x96F), (0xE01, 0xE5B), (0x2013, 0x2014), (0x2018, 0x201E),
+    (0x2026, 0x2026), (0x2039, 0x203A), (0x2116, 0x2116), (0x3000, 0x3002), (0x3005, 0x3011), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0xFF01, 0xFF65),
+)
+
+
+def _rare(chars: set[str]) -> str:
+    """A class of characters as a regular expression that is quick at common ones outside it."""
+    return f"(?![{_class(_common() - chars)}])[{_class(chars)}]"
+
 
+@cache
+def _common() -> frozenset[str]:
+    return frozenset(chr(c) for first, last in _COMMON for c in range(first, last + 1))
+
+
+@cache
+def _odd_chars(east: bool) -> frozenset[str]:
+    """What the mapping may change, letters of other scripts aside; in texts of East Asia or elsewhere."""
+    chars = set(everywhere()) | set(MARKS_AS_PLAIN) | set(OTHER_AS_LATIN) | set(invisible()) | set(_SELECTORS) | set(_JOINERS)
+    chars |= {chr(c) for c in range(0x300, 0x370)} | {"\u3099", "\u309a"}
+    return frozenset(chars if east else chars | set(_outside_east_asia()))
+
+
+@cache
+def _loose_chars() -> frozenset[str]:
+    """Characters that the collation ignores, and such as are not in composed normal form wherever they stand."""
+    ignored = {chr(c) for c in range(0x30000) if unicodedata.category(chr(c)) in ("Cc", "Cf")} - set("\t\n\x0b\x0c\r")
+    unstable = {chr(c) for c in range(0x30000) if unicodedata.normalize("NFC", chr(c)) != chr(c)}
+    # Marks that compose with what stands before them or may stand in another order; those of Thai see below.
+    marks = {chr(c) for c in range(0x300, 0x30000) if unicodedata.combining(chr(c)) and not 0xE00 <= c < 0xE80 and c != 0x94D}
+    jamo = {chr(c) for c in range(0x1100, 0x1200)}
+    parts = {unicodedata.normalize("NFD", chr(c))[-1] for c in range(0x900, 0x1200) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+    return frozenset(ignored | unstable | marks | jamo | parts | set(invisible()))
 
-_SALTS = 16
+
+_LOOSE_PAIRS = "[\\u0E48-\\u0E4B][\\u0E38-\\u0E3A]"  # marks of Thai in the other order
+
+
+@cache
+def _loose() -> str:
+    """Pattern of values that another one may equal under the collation; without a match a value equals only itself
+    among those without."""
+    return f"{_rare(_loose_chars())}|{_LOOSE_PAIRS}"
+
+
+@cache
+def _plain_texts() -> dict[str, str]:
+    """Patterns of whole texts that are neither odd nor loose, as most are, by group of languages.  Each allows the
+    letters of its own scripts only, so that letters of two scripts never pass."""
+    base = {c for c in _common() if c < "\u0100" or "\u2000" < c < "\u2200" or c in "\u0152\u0153"} - _loose_chars()
+    latin = {c for c in base if "LATIN" in unicodedata.name(c, "")}
+    block = lambda first, last: {c for c in _common() if first <= c <= last}
+    cjk, indic, cyrillic = block("\u3000", "\uffff"), block("\u0900", "\u0e5b"), block("\u0400", "\u045f")
+    whole = lambda chars, east=False: f"\\A[{_class(chars - _loose_chars() - _odd_chars(east))}]*+\\z"
+    return {"east": whole(base | cjk, True), "russian": whole(base - latin | cyrillic), "indic": whole(base | indic), "other": whole(base)}
+
+
+def plain_text(text: Column, lang: Column) -> Column:
+    """Whether a text, at a quick look, is neither changed by the mapping nor equal to another under the collation."""
+    p = _plain_texts()
+    indic = text.rlike(p["indic"]) & ~text.rlike(f"{_LOOSE_PAIRS}|{'|'.join(a for a, _ in _TWINS)}")
+    return F.when(lang.isin("zh", "ja"), text.rlike(p["east"])).when(lang == "ru", text.rlike(p["russian"])).when(lang.isin("hi", "th"), indic).otherwise(text.rlike(p["other"]))
+
+
+@cache
+def _unsettled() -> str:
+    """Pattern of all that values which the collation takes for equal may differ in: characters that it ignores, marks,
+    what can be decomposed, and letters before a mark that composes with them.  From the Unicode database."""
+    ignored = {chr(c) for c in range(0x30000) if unicodedata.category(chr(c)) in ("Cc", "Cf", "Mn", "Mc", "Me")} - set("\t\n\x0b\x0c\r")
+    parted = {chr(c) for c in range(0x30000) if not 0xAC00 <= c < 0xD7A4 and unicodedata.normalize("NFD", chr(c)) != chr(c)}
+    more = {chr(c) for c in range(0x1100, 0x1200)} | {chr(c) for c in range(0xAC00, 0xD7A4)} | set(invisible())
+    return f"{_rare(ignored | parted | more)}|.(?=[\\u0300-\\u036F\\u3099\\u309A\\u093C])"
+
+
+def _looked_at(values: DataFrame) -> DataFrame:
+    """The rows with a value, a language for all, and plain, whether a quick look finds nothing."""
+    sure = values.where(F.col("value").isNotNull()).withColumn("lang", F.coalesce("lang", F.lit("xx")))
+    return sure.withColumn("plain", plain_text(F.col("value"), F.col("lang")))
+
+
+def _seen(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plain rows, which are what they look like, and the others, which go through the mapping; both with seen."""
+    plain = looked.where("plain").drop("plain")
+    return plain.withColumn("seen", F.col("value")), with_seen(looked.where("NOT plain").drop("plain"))
+
+
+def _bounded(small: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, int]:
+    """A written table, to be broadcast if it has no more than `most` rows, and the number of rows up to there."""
+    held = materialize(small, "small")
+    n = held.limit(most + 1).count()
+    return (F.broadcast(held) if n <= most else held), n
+
+
+def exceptions(values: DataFrame, most_langs: int = 1000) -> DataFrame:
+    """(lang, seen, canonical) of the mapped values that are not their class's canonical member.
+
+    Classes are equal values under the collation.  Its comparisons are slow, so it is asked only where a class can have
+    several members: in languages with a loose value, and there for different mapped values that are the same without
+    all that the collation may overlook."""
+    plain, mapped = _seen(_looked_at(values.select("lang", "value")))
+    # As an aggregate: a filter would go below the mapping's steps and write each of them out many times.
+    loose = mapped.groupBy("lang").agg(F.max(F.col("seen").rlike(_loose())).alias("loose")).where("loose")
+    langs = [r["lang"] for r in loose.limit(most_langs + 1).collect()]
+    seen = plain.unionByName(mapped)
+    if len(langs) <= most_langs:
+        seen = seen.where(F.col("lang").isin(langs))
+    settled = F.xxhash64(F.regexp_replace("seen", _unsettled(), ""))
+    marked = seen.select("lang", "value", "seen", settled.alias("settled"), F.xxhash64("seen").alias("print"))
+    several = marked.groupBy("lang", "settled").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low != high").select("lang", "settled")
+    met = marked.join(_bounded(several)[0], ["lang", "settled"], "left_semi")
+    # An ordinary member is one that its own mapping leaves as it is; a class without one gets its mapped value.
+    members = met.groupBy("lang", "seen").agg(F.max(F.col("value") == F.col("seen")).alias("ordinary"))
+    key = F.collate(F.col("seen"), COLLATION)
+    canonical = F.coalesce(F.min(F.when(F.col("ordinary"), F.col("seen"))), F.min("seen"))
+    classes = members.groupBy("lang", key.alias("class")).agg(canonical.alias("canonical"), F.collect_set("seen").alias("all"))
+    return classes.select("lang", F.explode("all").alias("seen"), "canonical").where("seen != canonical")
 
 
 def with_canonical(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, lang, value, canonical) of the rows whose value is not its class's canonical member."""
-    changed = canonical_forms(rows.select("lang", "value")).where(F.col("canonical") != F.col("value"))
-    # A value may be a third of all rows: rows go over 16 salts, and each of the few changed values to all of them.
-    salted = rows.select(*keys, F.coalesce("lang", F.lit("xx")).alias("lang"), "value").withColumn(
-        "salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS))
-    )
-    spread = changed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))))
-    return salted.join(spread, ["lang", "value", "salt"]).select(*keys, "lang", "value", "canonical")
+    """(keys, lang, value, canonical) of the rows whose value is not its class's canonical member.
+
+    A row's canonical member is its mapped value, but for the exceptions; those are joined, by broadcast where they are
+    few, so that rows are not shuffled, however often a value occurs."""
+    other, n = _bounded(exceptions(rows.select("lang", "value")))
+    plain, mapped = _seen(_looked_at(rows.select(*keys, "lang", "value")))
+    seen = mapped.unionByName(plain) if n else mapped  # a plain value can only be changed by an exception
+    canonical = F.coalesce("canonical", "seen")
+    met = seen.join(other, ["lang", "seen"], "left").where(canonical != F.col("value"))
+    return met.select(*keys, "lang", "value", canonical.alias("canonical"))
 
 
 def short_language(language: Column) -> Column:
