@@ -166,7 +166,7 @@ def with_seen(values: DataFrame) -> DataFrame:
 # ---- which values need the mapping, and which can share a class ----
 
 
-def _class(chars: set[str] | str) -> str:
+def character_class(chars: set[str] | frozenset[str] | str) -> str:
     """Inside of a character class of a regular expression."""
     points, out, k = sorted(map(ord, chars)), [], 0
     while k < len(points):
@@ -187,11 +187,11 @@ _COMMON = (
 
 def _rare(chars: set[str]) -> str:
     """A class of characters as a regular expression that is quick at common ones outside it."""
-    return f"(?![{_class(_common() - chars)}])[{_class(chars)}]"
+    return f"(?![{character_class(common_characters() - chars)}])[{character_class(chars)}]"
 
 
 @cache
-def _common() -> frozenset[str]:
+def common_characters() -> frozenset[str]:
     return frozenset(chr(c) for first, last in _COMMON for c in range(first, last + 1))
 
 
@@ -229,11 +229,11 @@ def _loose() -> str:
 def _plain_texts() -> dict[str, str]:
     """Patterns of whole texts that are neither odd nor loose, as most are, by group of languages.  Each allows the
     letters of its own scripts only, so that letters of two scripts never pass."""
-    base = {c for c in _common() if c < "\u0100" or "\u2000" < c < "\u2200" or c in "\u0152\u0153"} - _loose_chars()
+    base = {c for c in common_characters() if c < "\u0100" or "\u2000" < c < "\u2200" or c in "\u0152\u0153"} - _loose_chars()
     latin = {c for c in base if "LATIN" in unicodedata.name(c, "")}
-    block = lambda first, last: {c for c in _common() if first <= c <= last}
+    block = lambda first, last: {c for c in common_characters() if first <= c <= last}
     cjk, indic, cyrillic = block("\u3000", "\uffff"), block("\u0900", "\u0e5b"), block("\u0400", "\u045f")
-    whole = lambda chars, east=False: f"\\A[{_class(chars - _loose_chars() - _odd_chars(east))}]*+\\z"
+    whole = lambda chars, east=False: f"\\A[{character_class(chars - _loose_chars() - _odd_chars(east))}]*+\\z"
     return {"east": whole(base | cjk, True), "russian": whole(base - latin | cyrillic), "indic": whole(base | indic), "other": whole(base)}
 
 
