@@ -14,6 +14,7 @@ of any length are read whole.  Private-use characters in a text count as ordinar
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,19 @@ _CJK = "\\u3005\\u3040-\\u30FF\\u3400-\\u9FFF\\uF900-\\uFAFF"
 _WORD_START = r"(?<![\p{L}\p{M}\p{N}])"
 
 
+def _short_forms() -> Iterator[str]:
+    """What stands around the full stop of a short form: behind it and ahead."""
+    yield rf"(?<={_WORD_START}\p{{Lu}}\.)(?=\s)"
+    yield rf"(?<={_WORD_START}[zduhpv]\.)(?=\s\p{{L}})"
+    yield rf"(?<={_WORD_START}т\.)(?=\s[едкпн]\b)"
+    yield rf"(?<={_WORD_START}(?:{BEFORE_NAMES}|{BEFORE_WORDS})\.)"
+    yield rf"(?<={_WORD_START}(?:{BEFORE_NUMBERS})\.)(?=\s?\d)"
+    yield rf"(?<!\p{{Lu}}[\p{{L}}’]{{1,15}}\sSt\.)(?<={_WORD_START}St\.)(?=\s\p{{Lu}})"
+    # German ordinals.
+    yield r"(?<=\b(?:Am|am|Im|im|Vom|vom|Zum|zum|Der|der|Den|den|Dem|dem|Des|des|Das|das|Die|die|bis|Bis)\s\d{1,3}\.)(?=\s)"
+    yield r"(?<=\b\d{1,2}\.)(?=\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)"
+
+
 def _masks(p: Column) -> Column:
     """The paragraph with everything masked that looks like an end and is none."""
 
@@ -65,16 +79,8 @@ def _masks(p: Column) -> Column:
     # Between letters and digits: decimals, times, addresses, dotted short forms.
     put(r"\.(?<=[\p{L}\p{N}]\.)(?=[\p{L}\p{N}])", _DOT)
     put(rf"\.(?<={_WORD_START}(?![ap]{_DOT}m)\p{{L}}{_DOT}\p{{L}}\.)", _DOT)
-    put(rf"\.(?<={_WORD_START}\p{{Lu}}\.)(?=\s)", _DOT)
-    put(rf"\.(?<={_WORD_START}[zduhpv]\.)(?=\s\p{{L}})", _DOT)
     put(rf"е\.(?<=т{_DOT}\sе\.)", f"е{_DOT}")
-    put(rf"\.(?<={_WORD_START}т\.)(?=\s[едкпн]\b)", _DOT)
-    put(rf"\.(?<={_WORD_START}(?:{BEFORE_NAMES}|{BEFORE_WORDS})\.)", _DOT)
-    put(rf"\.(?<={_WORD_START}(?:{BEFORE_NUMBERS})\.)(?=\s?\d)", _DOT)
-    put(rf"St\.(?<!\p{{Lu}}[\p{{L}}’]{{1,15}}\sSt\.)(?<={_WORD_START}St\.)(?=\s\p{{Lu}})", f"St{_DOT}")
-    # German ordinals.
-    put(r"\.(?<=\b(?:Am|am|Im|im|Vom|vom|Zum|zum|Der|der|Den|den|Dem|dem|Des|des|Das|das|Die|die|bis|Bis)\s\d{1,3}\.)(?=\s)", _DOT)
-    put(r"\.(?<=\b\d{1,2}\.)(?=\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)", _DOT)
+    put(rf"\.(?:{'|'.join(_short_forms())})", _DOT)
     return p
 
 
