@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 from html.parser import HTMLParser
 
@@ -35,48 +36,63 @@ def ascii_fold(text):
     return _ascii_fold()(text)
 
 
-class _Page(HTMLParser):
-    """Paragraphs of a page and its first heading that fits."""
+class _Events(HTMLParser):
+    """What a parser meets, as a list: elements that open (+tag) and close (-tag), and text."""
 
-    def __init__(self, heading: re.Pattern):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.fits, self.found = heading, None
-        self.said: list[str] = []
-        self.depth = 0
-        self.title: list[str] | None = None
+        self.all: list[tuple[str, str]] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in SILENT
-        if tag in HEADINGS:
-            self.title = []
-        if tag in BLOCKS:
-            self.said.append("\n\n")
+        self.all.append(("+", tag))
 
     def handle_endtag(self, tag):
-        self.depth -= tag in SILENT
-        if tag in HEADINGS and self.title is not None:
-            title, self.title = " ".join("".join(self.title).split()), None
-            if title and self.found is None and self.fits.match(title):
-                self.found = title
-        if tag in BLOCKS:
-            self.said.append("\n\n")
+        self.all.append(("-", tag))
 
     def handle_data(self, data):
-        if not self.depth:
-            self.said.append(data)
-            if self.title is not None:
-                self.title.append(data)
+        self.all.append(("text", data))
 
-    def paragraphs(self) -> list[str]:
-        return [q for p in re.split(r"\n\s*\n", "".join(self.said)) if (q := " ".join(p.split()))]
+
+def _heard(events: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The events without text inside elements that hold none."""
+    out, silent = [], 0
+    for kind, value in events:
+        if value in SILENT and kind != "text":
+            silent += 1 if kind == "+" else -1
+        elif kind != "text" or not silent:
+            out.append((kind, value))
+    return out
+
+
+def _one_line(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _paragraphs(heard: list[tuple[str, str]]) -> list[str]:
+    flow = "".join(value if kind == "text" else "\n\n" for kind, value in heard if kind == "text" or value in BLOCKS)
+    return list(filter(None, map(_one_line, re.split(r"\n\s*\n", flow))))
+
+
+def _first_heading(heard: list[tuple[str, str]], fits: re.Pattern) -> str | None:
+    """Text from where a heading opens to where one closes, the first that fits."""
+    begin = None
+    for k, (kind, value) in enumerate(heard):
+        if value in HEADINGS and kind == "+":
+            begin = k
+        elif value in HEADINGS and kind == "-" and begin is not None:
+            title = _one_line("".join(v for what, v in heard[begin:k] if what == "text"))
+            if title and fits.match(title):
+                return title
+            begin = None
+    return None
 
 
 def read_page(html: str, heading: str = r"chapter\s") -> tuple[str, str | None]:
     """Text of a page, paragraphs parted by blank lines, and its heading."""
-    page = _Page(re.compile(heading, re.IGNORECASE))
-    page.feed(html)
-    page.close()
-    return "\n\n".join(page.paragraphs()), page.found
+    heard = _heard(_Events(html).all)
+    return "\n\n".join(_paragraphs(heard)), _first_heading(heard, re.compile(heading, re.IGNORECASE))
 
 
 @cache
@@ -93,7 +109,17 @@ def html_text(html, heading: str = r"chapter\s"):
     return _html_text(heading)(html)
 
 
+def _named(one: Callable[[str], str]):
+    @F.pandas_udf("string")
+    def over_texts(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return over_texts
+
+
 def register(spark: SparkSession) -> None:
     """The functions under their names for SQL."""
     spark.udf.register("ascii_fold", _ascii_fold())
     spark.udf.register("html_text", _html_text(r"chapter\s"))
+    spark.udf.register("slug", _named(lambda t: "_".join(re.findall("[a-z0-9]+", fold_to_ascii(t).lower())) or "someone"))
+    spark.udf.register("fold", _named(lambda t: re.sub("[^a-z ]", "", fold_to_ascii(t).lower())))

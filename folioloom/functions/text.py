@@ -28,6 +28,8 @@ WORD = r"\p{L}\p{N}_"
 BOUND = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 TAG = rf"^(?:[{WORD}’']+\s+){{0,3}}?(?:{VERBS})\s+((?:the\s+|M\.\s+|Madame\s+|Mademoiselle\s+)?[A-Z][{WORD}’é\-]+)"
 
+JSON_STRING = r'"(?:\\.|[^"\\])*+"'
+
 _EMPTY = "array<string>"
 
 
@@ -118,8 +120,7 @@ def json_of_answer(raw: Column) -> Column:
 
 def salvaged_instruct(raw: Column) -> Column:
     """The string "instruct" of an answer whose JSON may be broken elsewhere."""
-    held = F.regexp_extract(raw, r'(?s)"instruct"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
-    text = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), held, F.lit('"'))), "$", "string")
+    text = F.try_variant_get(F.try_parse_json(F.regexp_extract(raw, rf'(?s)"instruct"\s*:\s*({JSON_STRING})', 1)), "$", "string")
     return F.when(strip(text) != "", strip(text))
 
 

@@ -73,6 +73,12 @@ def tidied(samples: np.ndarray, rate: int) -> np.ndarray:
     return a
 
 
+def below_ceiling(samples: np.ndarray) -> np.ndarray:
+    """One clip with samples beyond the ceiling bent below 1; the array form of `limited`."""
+    size = np.abs(samples)
+    return np.where(size > PEAK, np.sign(samples) * (PEAK + (1 - PEAK) * np.tanh((size - PEAK) / (1 - PEAK))), samples).astype(np.float32)
+
+
 @cache
 def _tidy(rate: int):
     @F.pandas_udf("array<float>")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ def not_done(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def stage_state(manifest: DataFrame) -> DataFrame:
-    """(book_id, stage, done, done_at, seconds) as last recorded: by done_at, a null last, then by loaded_at."""
-    last = F.max_by(F.struct("done", "done_at", "seconds"), F.struct("done_at", "loaded_at")).alias("r")
+    """(book_id, stage, done, done_at, seconds) as last recorded: by done_at, a null before all, then by loaded_at; where
+    these are equal, what is done, then what took longer."""
+    last = F.max_by(F.struct("done", "done_at", "seconds"), F.struct("done_at", "loaded_at", "done", "seconds")).alias("r")
     return manifest.groupBy("book_id", "stage").agg(last).select("book_id", "stage", "r.*")
 
 
@@ -47,3 +49,33 @@ def stale(outputs: DataFrame, inputs: DataFrame, keys: Sequence[str], at: str =
 def write_parts(df: DataFrame, path: str, by: Sequence[str] = ("book_id",)) -> None:
     """Replace only the partitions that `df` has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def run_stages(
+    stages: Sequence[tuple[str, str | None]], act: Callable[[str], None], state: dict[str, dict], *, only: Sequence[str] | None = None, start: str | None = None,
+    until: str | None = None, chapters: Sequence[int] = (), force: bool = False, server: tuple[Callable[[], None], Callable[[], None]] | None = None,
+    profile: str | None = None, clock: Callable[[], float] = time.time,
+) -> dict[str, dict]:
+    """Run stages (name, kind) in order and record each in `state`; done ones are skipped, unless they are asked for by
+    `only`, `chapters` or `force`.  A run over some chapters never marks a stage done.  server: stops the model server
+    before a stage of kind "sound" and starts it again before one of kind "text", and at the end."""
+    names = [s for s, _ in stages]
+    stopped = False
+    try:
+        for name in chosen_stages(names, only, start, until):
+            if state.get(name, {}).get("done") and not (force or only or chapters):
+                continue
+            kind = dict(stages)[name]
+            if server and kind == "sound" and not stopped:
+                server[0]()
+                stopped = True
+            elif server and kind == "text" and stopped:
+                server[1]()
+                stopped = False
+            began = clock()
+            act(name)
+            state[name] = {"done": not chapters, "done_at": clock(), "seconds": round(clock() - began), "profile": profile, "chapters": list(chapters) or None}
+    finally:
+        if server and stopped:
+            server[1]()
+    return state

@@ -58,6 +58,14 @@ def cast_summary(cast: DataFrame) -> DataFrame:
     return cast.select("book_id", "id", F.concat("name", F.when(others != "", F.concat(F.lit(" | "), others)).otherwise("")).alias("line"))
 
 
+def cast_listing(cast: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, listing): the lines of each book's cast in order, "(empty)" for a book without."""
+    line = cast_summary(cast).join(cast.select("book_id", "id", "ord"), ["book_id", "id"])
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "line"))), lambda r: r["line"]), "\n")
+    listed = line.groupBy("book_id").agg(rows.alias("listing"))
+    return books.select("book_id").distinct().join(listed, "book_id", "left").select("book_id", F.coalesce("listing", F.lit("(empty)")).alias("listing"))
+
+
 def shares_name(pairs: DataFrame, alias: str = "alias", name: str = "name", aliases: str = "aliases", notes: str = "notes") -> DataFrame:
     """`pairs` with shares_name: whether an alias fits a character.  It does if all its names are the character's; or
     if it leads with one of the names in the character's own and has all of them.  A title of the other gender never

@@ -51,13 +51,14 @@ def chapter_index(chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def batches(script: DataFrame, keys: Sequence[str], most: int = 120) -> DataFrame:
-    """`script` with its batch, counted from 0: even windows of at most `most` quotations, one for a chapter without."""
+    """`script` with its batch, counted from 0: even windows of at most `most` quotations, one for a chapter without; and
+    batch_quotes, the quotations of its chapter."""
     chapter = Window.partitionBy(*keys)
     ordered = chapter.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quote = (F.col("kind") == "quote").cast("int")
     total, so_far = F.sum(quote).over(chapter), F.sum(quote).over(ordered)
     per = F.when(total == 0, 1).otherwise(F.ceil(total / F.ceil(total / F.lit(most))))
-    return script.withColumn("batch", F.floor(F.greatest(so_far - 1, F.lit(0)) / per).cast("int"))
+    return script.withColumns({"batch": F.floor(F.greatest(so_far - 1, F.lit(0)) / per).cast("int"), "batch_quotes": total})
 
 
 def batch_bounds(batched: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,10 +74,15 @@ def rendered(kind: Column, number: Column, text: Column) -> Column:
 
 
 def batch_prompts(batched: DataFrame, keys: Sequence[str], context: int = 12) -> DataFrame:
-    """(keys, batch, earlier, body): each batch's lines, and the text of the segments before it."""
-    before = Window.partitionBy(*keys).orderBy("id").rowsBetween(-context, -1)
-    lines = batched.withColumn("line", rendered(F.col("kind"), F.col("id"), F.col("text"))).withColumn(
-        "earlier", F.array_join(F.collect_list("text").over(before), " ")
-    )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\n")
-    return lines.groupBy(*keys, "batch").agg(F.min_by("earlier", "id").alias("earlier"), body.alias("body"))
+    """(keys, batch, earlier, body): each batch's lines, and the text of the `context` segments before it.  Each batch
+    keeps its last texts, and looks at those of the batches before it."""
+    lines = batched.withColumn("line", rendered(F.col("kind"), F.col("id"), F.col("text")))
+    held = lines.groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("id", "line", "text"))).alias("s"))
+
+    def last(texts: Column) -> Column:
+        return F.slice(texts, F.greatest(F.size(texts) - context + 1, F.lit(1)), F.lit(context))
+
+    tails = held.withColumn("tail", last(F.transform("s", lambda x: x["text"])))
+    before = Window.partitionBy(*keys).orderBy("batch").rowsBetween(-context, -1)
+    seen = tails.withColumn("earlier", F.array_join(last(F.flatten(F.collect_list("tail").over(before))), " "))
+    return seen.select(*keys, "batch", "earlier", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("body"))

@@ -44,20 +44,22 @@ def lexicon_entries(saved: DataFrame) -> DataFrame:
 def respelled(script: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(seg_key, spoken): segments in which a name of the book's lexicon stands as a word, with the respellings.
 
-    Words of segments meet names' first words on (book_id, word); what was found, per segment, is applied in the
-    lexicon's order.  A book's lexicon is not collected: a segment gets only the entries that it has."""
+    Words of segments meet names' first words on (book_id, word), without the text; what was found is joined to the
+    segments' texts once and applied in the lexicon's order.  A book's lexicon is not collected: a segment gets only the
+    entries that it may have."""
     word = lambda t: all_matches(t, f"[{WORD}]+")
     names = lexicon.withColumn("word", F.get(word(F.col("name")), F.lit(0))).where("word IS NOT NULL")
-    words = script.where(F.col("text").isNotNull()).select("book_id", "seg_key", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
-    met = words.join(names, ["book_id", "word"]).where(F.col("text").contains(F.col("name")))
-    held = met.groupBy("seg_key").agg(F.first("text").alias("text"), F.array_sort(F.collect_set(F.struct("place", "name", "respelling"))).alias("entries"))
+    texts = script.where(F.col("text").isNotNull()).select("book_id", "seg_key", "text")
+    words = texts.select("book_id", "seg_key", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
+    met = words.join(names, ["book_id", "word"])
+    held = met.groupBy("seg_key").agg(F.array_sort(F.collect_set(F.struct("place", "name", "respelling"))).alias("entries"))
 
     def put(t: Column, e: Column) -> Column:
-        quoted = F.concat(F.lit(BOUND + r"\Q"), e["name"], F.lit(r"\E" + BOUND))
+        quoted = F.concat(F.lit(BOUND), F.regexp_replace(e["name"], r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(BOUND))
         said = F.replace(F.replace(e["respelling"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         return F.regexp_replace(t, quoted, said)
 
-    spoken = held.select("seg_key", "text", F.aggregate("entries", F.col("text"), put).alias("spoken"))
+    spoken = texts.join(held, "seg_key").select("seg_key", "text", F.aggregate("entries", F.col("text"), put).alias("spoken"))
     return spoken.where("spoken != text").select("seg_key", "spoken")
 
 

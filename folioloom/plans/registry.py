@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from folioloom import providers
 from folioloom.functions import text as tx
 from folioloom.functions.arrow import ascii_fold, html_text
-from folioloom.operators import attribution, audio, casting, incremental, roster, scoring, segmentation, timeline, voices
+from folioloom.operators import attribution, audio, casting, incremental, reading, roster, scoring, segmentation, sound, timeline, voices
 from folioloom.plans import sql
+from folioloom.plans.headings import HEADINGS
 from folioloom.session import spread, table
+from folioloom.sources import books as shelf
 from folioloom.sources import epub
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,14 +79,14 @@ def html_to_text(spark, d):
 
 @query
 def chapter_filter(spark, d):
-    """Documents with a heading, numbered anew in the order of their book.  Headings are known by the words chapter,
-    chapitre, kapitel and capítulo: texts in en, fr, de and es are kept, those in ru, zh, ja, hi and th are not."""
-    from pyspark.sql import Window
-
-    headed = F.regexp_extract(F.regexp_extract("text", r"^[^\n]*", 0), r"(?i)^((?:chapter|chapitre|kapitel|capítulo)\s.*)", 1)
-    kept = _chapters(spark, d).where("text IS NOT NULL").withColumn("heading", headed).where("heading != ''")
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("n", "chapter_id"))
-    return kept.select("chapter_id", "book_id", n.alias("number"), "heading")
+    """Pages with a chapter's heading, in any of the nine languages, numbered anew in the order of their book."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = escaped(F.regexp_extract("text", r"^[^\n]*", 0))
+    page = F.concat(F.lit("<html><body><h2>"), first, F.lit("</h2><p>"), escaped(F.substring("text", 1, 50)), F.lit("</p></body></html>"))
+    pages = _chapters(spark, d).where("text IS NOT NULL").select("book_id", F.struct("n", "chapter_id").alias("pos"), page.alias("html"))
+    # The operator keeps the heading and numbers the pages; n and chapter_id tell which page it was.
+    read = epub.chapters(pages, "book_id", HEADINGS, ["pos"])
+    return read.select(F.col("pos.chapter_id").alias("chapter_id"), "book_id", F.col("n").alias("number"), F.col("title").alias("heading"))
 
 
 @query
@@ -142,13 +144,20 @@ def batch_prompts(spark, d):
     return made.select("book_id", "n", "batch", F.md5("earlier").alias("earlier_md5"), F.md5("body").alias("body_md5"))
 
 
+@query
+def label_prompts(spark, d):
+    """What a model is asked: the cast, the text before the batch, the batch; only of chapters with quotations."""
+    made = attribution.label_prompts(_texts(spark, d), _cast(spark, d), ["book_id", "n"])
+    body = F.regexp_extract("prompt", r"(?s)CHARACTERS, one a line as id \| name \| other names:\n(.*)", 1)
+    return made.select("book_id", "n", "batch", F.md5(body).alias("prompt_md5"))
+
+
 @query
 def label_batches(spark, d):
-    """Answers of the default provider to the batches' prompts."""
-    made = segmentation.batch_prompts(segmentation.batches(_texts(spark, d), ["book_id", "n"]), ["book_id", "n"])
-    prompts = made.select(F.concat_ws("/", "book_id", "n", "batch").alias("key"), F.col("body").alias("prompt"))
-    answers = providers.ask(spread(prompts))
-    return answers.select("key", "attempts", F.char_length(tx.json_of_answer(F.col("raw"))).alias("chars"), "error")
+    """Labels of the default provider, by number; 120 quotations a batch."""
+    prompts = attribution.label_prompts(_texts(spark, d), _cast(spark, d), ["book_id", "n"])
+    answers = providers.ask(prompts, keys=["book_id", "n", "batch"], accept=providers.any_object)
+    return attribution.labels_of(answers, ["book_id", "n"])
 
 
 # ---- the cast ----
@@ -198,10 +207,48 @@ def first_names_once(spark, d):
 
 @query
 def shares_name(spark, d):
-    """Whether each alias fits the character that it is filed under."""
-    c = spread(_cast(spark, d)).select("book_id", "id", "name", "aliases", "notes", F.explode("aliases").alias("alias"))
-    pairs = c.where("alias IS NOT NULL AND name IS NOT NULL").withColumn("aliases", F.array().cast("array<string>"))
-    return roster.shares_name(pairs).select("book_id", "id", "alias", "shares_name").distinct()
+    """Whether each alias fits the character that it is filed under, by the name and the other aliases."""
+    c = _cast(spark, d).where("name IS NOT NULL")
+    pairs = c.select("book_id", "id", "name", "notes", F.col("aliases").alias("all"), F.explode("aliases").alias("alias")).where("alias IS NOT NULL")
+    others = pairs.withColumn("aliases", F.filter("all", lambda a: a.isNotNull() & (a != F.col("alias"))))
+    return roster.shares_name(others).select("book_id", "id", "alias", "shares_name").distinct()
+
+
+@query
+def cast_listing(spark, d):
+    """The cast of every book as prompts show it; books without a cast too."""
+    c = _cast(spark, d).where("ord % 5 != 0")
+    return roster.cast_listing(c.where(F.col("book_id").substr(-1, 1) != "7"), table(spark, d, "books"))
+
+
+@query
+def merge_prompts(spark, d):
+    """The lines on people that a model is shown to find those noted twice."""
+    c = _cast(spark, d).where(F.size("chapters") > 0)
+    return reading.person_lines(c).select("book_id", "id", "line")
+
+
+@query
+def brief_prompts(spark, d):
+    """What casting briefs are asked with, for speaking characters without one, those of most chapters first."""
+    made = reading.brief_prompts(_cast(spark, d), _books(spark, d))
+    body = F.regexp_extract("prompt", r"(?s)throughout\.\n\n(.*)\n\nAnswer", 1)
+    return made.select("book_id", "id", "place", F.md5(body).alias("body_md5"))
+
+
+@query
+def collect_notes(spark, d):
+    """Chapters noted one after another, each with the cast so far; how many were known, and what each book has at last."""
+    c = _chapters(spark, d).groupBy("book_id", "n").agg(F.max_by("text", F.struct("loaded_at", "chapter_id")).alias("text"))
+    return reading.collect(c, providers.StubNoter).select("book_id", "n", "known", "attempts")
+
+
+@query
+def collected_cast(spark, d):
+    """The cast that those notes give."""
+    c = _chapters(spark, d).groupBy("book_id", "n").agg(F.max_by("text", F.struct("loaded_at", "chapter_id")).alias("text"))
+    cast = reading.cast_of(reading.collect(c, providers.StubNoter))
+    return cast.select("book_id", "id", "name", F.size("chapters").alias("chapters"), F.col("lines").cast("bigint").alias("lines"))
 
 
 @query
@@ -244,7 +291,15 @@ def cast_merge(spark, d):
         "book_id", F.explode("chapters").alias("n"), F.col("entry_id").alias("ord"), "name", F.col("aliases").alias("new_aliases"), F.lit(True).alias("speaks"),
         F.lit("1 line").alias("lines"), *[first(k).alias(k) for k in casting.NOTES], "evidence", F.lit(None).cast("string").alias("disguise_of"), F.lit(None).cast("string").alias("disguise_as"),
     )
-    return casting.merge_notes(notes)
+    return casting.merge_notes(notes.unionByName(_disguises(c)))
+
+
+def _disguises(cast):
+    """What the saved disguises tell, after the last chapter."""
+    told = cast.select("book_id", F.lit(100_000).alias("n"), F.col("entry_id").alias("ord"), F.col("name").alias("disguise_of"), F.explode("disguises").alias("disguise_as"))
+    none = {k: F.lit(None).cast("string") for k in ("name", "lines", *casting.NOTES)}
+    empty = {k: F.lit(None).cast("array<string>") for k in ("new_aliases", "evidence")}
+    return told.where("disguise_as IS NOT NULL").withColumns({**none, **empty, "speaks": F.lit(False)})
 
 
 # ---- attribution ----
@@ -257,9 +312,15 @@ def tag_names(spark, d):
     return n.where("name != ''")
 
 
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """The current script as the dialogue tags have it; texts are read for their tags and go no further."""
+    lean = attribution.with_tag(table(spark, d, "script_segments")).drop("emotion", "labelled_at")
+    return attribution.tag_override(attribution.current_script(lean), roster.name_index(_cast(spark, d)))
+
+
 @query
 def tag_override(spark, d):
-    done = attribution.tag_override(_script(spark, d), roster.name_index(_cast(spark, d)))
+    done = _tagged(spark, d)
     return done.where("overridden_now").select("book_id", "n", "id", "speaker")
 
 
@@ -271,14 +332,14 @@ def checked_speakers(spark, d):
 
 @query
 def attribution_stats(spark, d):
-    done = attribution.tag_override(_script(spark, d), roster.name_index(_cast(spark, d)))
+    done = _tagged(spark, d)
     return attribution.chapter_stats(done, ["book_id", "n"])
 
 
 @query
 def speaker_quotes(spark, d):
     """Flagship: quotations by speaker after the dialogue tags had their say."""
-    done = attribution.tag_override(_script(spark, d), roster.name_index(_cast(spark, d)))
+    done = _tagged(spark, d)
     return done.where("kind = 'quote'").groupBy("book_id", "speaker").agg(
         F.count("*").alias("quotes"), F.count_if(F.coalesce("overridden_now", F.lit(False))).alias("by_tag")
     )
@@ -294,8 +355,29 @@ def read_labels(spark, d):
     nested = F.to_json(F.struct(F.struct(F.col("speaker").alias("name")).alias("speaker"), e.alias("emotion")))
     listed = F.to_json(F.struct(F.array("speaker").alias("speaker"), e.alias("emotion")))
     label = F.when(shape == 0, as_object).when(shape == 1, F.concat(F.lit('"'), "speaker", F.lit('"'))).when(shape == 2, nested).when(shape == 3, listed).otherwise("{}")
-    members = table(spark, d, "cast_members").select("id")
-    return attribution.read_labels(s.select("seg_key", label.alias("label")), members, keys=["seg_key"])
+    members = table(spark, d, "cast_members").select("book_id", "id")
+    # The label names somebody of the next book for every seventh segment: not of this cast.
+    other = F.when(F.pmod("seg_key", F.lit(7)) == 6, F.lit("bk00000000")).otherwise(F.col("book_id"))
+    return attribution.read_labels(s.select(other.alias("book_id"), "seg_key", label.alias("label")), members, keys=["seg_key"]).select("seg_key", "speaker", "emotion")
+
+
+@query
+def attribute_chapters(spark, d):
+    """Chapters from their text to speakers: segments, labels of the default provider in batches of 120, tags."""
+    script = segmentation.segments(_chapters(spark, d), ["book_id", "chapter_id"])
+    cast = _cast(spark, d)
+    done = attribution.attribute(script, cast, roster.name_index(cast), keys=["book_id", "chapter_id"])
+    return done.select("chapter_id", "id", "kind", "speaker", "emotion", "overridden_now")
+
+
+@query
+def profile_scores(spark, d):
+    """The default provider as a profile, held against the last labels of each chapter."""
+    script = _texts(spark, d)
+    gold = script.where("kind = 'quote'").select("book_id", "n", "id", F.col("speaker").alias("gold"))
+    lean = script.select("book_id", "n", "id", "para", "kind", "text")
+    done = scoring.score_profiles(lean, gold, _cast(spark, d), {"rule": providers.StubProvider})
+    return done.select("profile", "book_id", "n", "quotes", "model_only", "with_tag_override")
 
 
 @query
@@ -347,7 +429,24 @@ def pick_line(spark, d):
 
 @query
 def narration_line(spark, d):
-    return voices.narration_line(_chapters(spark, d).where("text IS NOT NULL"), ["chapter_id"])
+    """A line of each book's first chapter."""
+    return voices.narration_line(_chapters(spark, d))
+
+
+def _assigned(spark: SparkSession, d: str):
+    return voices.assigned_voices(_texts(spark, d), _cast(spark, d), _books(spark, d), providers.StubDesigner, narration=voices.narration_line(_chapters(spark, d)))
+
+
+@query
+def voices_mapped(spark, d):
+    """Who gets which voice: a designed one, or a stock one for small parts and where the model gave none."""
+    return _assigned(spark, d)[1]
+
+
+@query
+def voices_made(spark, d):
+    """The voices: designed, stock and the narrator's."""
+    return _assigned(spark, d)[0].select("book_id", "id", F.md5(F.concat_ws("|", "instruct", "line")).alias("voice_md5"))
 
 
 @query
@@ -481,7 +580,37 @@ def concat_clips(spark, d):
     """Clips of a label one after another."""
     s = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("c"))
     joined = audio.joined(F.transform("c", lambda x: x["embedding"]))
-    return s.select("label", F.size(joined).alias("samples"), audio.seconds(F.size(joined), F.lit(24000)).alias("seconds"))
+    whole = s.select("label", joined.alias("a"))
+    return whole.select("label", _rounded(F.transform("a", lambda x: x.cast("double")), 4).alias("samples"), audio.seconds(F.size("a"), F.lit(24000)).alias("seconds"))
+
+
+@query
+def reading_plan(spark, d):
+    """Pieces of each chapter with the samples of silence before them."""
+    made, mapped = _assigned(spark, d)
+    plan = sound.reading_plan(_texts(spark, d), mapped, made)
+    return plan.groupBy("book_id", "n", "voice").agg(F.count("*").alias("pieces"), F.sum(sound.silent_samples(F.col("pause"), 24000)).cast("bigint").alias("silence"))
+
+
+@query
+def file_tags(spark, d):
+    """The tags of each chapter's file."""
+    return shelf.tag_rows(timeline.titled(_durations(spark, d), _index(spark, d)), _books(spark, d))
+
+
+@query
+def concat_listings(spark, d):
+    """The files of each book in order."""
+    parts = _durations(spark, d).select("book_id", "n", F.concat(F.lit("/out/"), "book_id", F.lit("/"), F.lpad(F.col("n").cast("string"), 3, "0"), F.lit(".wav")).alias("path"))
+    return shelf.concat_listing(parts)
+
+
+@query
+def name_options(spark, d):
+    """Respellings said and heard again, by the default provider."""
+    p = table(spark, d, "pronunciations").where("name IS NOT NULL AND respelling IS NOT NULL")
+    options = p.groupBy("book_id", "name").agg(F.array_sort(F.collect_set("respelling")).alias("variants"))
+    return sound.score_names(options).select("book_id", "name", "option", "spoken_as", "recognised")
 
 
 @query
@@ -506,7 +635,8 @@ def parse_answers(spark, d):
 def salvage_instruct(spark, d):
     """The instruction in answers that are broken behind it."""
     c = table(spark, d, "cast_members").where("name IS NOT NULL")
-    raw = F.concat(F.lit('{"instruct": "A calm voice for '), F.regexp_replace("name", r'["\\\x00-\x1f]', ""), F.lit(', \\"low\\".", "why": "it says "so"}'))
+    inside = F.to_json(F.array(F.concat(F.lit('A "calm" voice for '), "name", F.lit("\\"))))
+    raw = F.concat(F.lit('{"instruct": '), F.substring(inside, F.lit(2), F.char_length(inside) - 2), F.lit(', "why": "it says "so"}'))
     return c.select("entry_id", tx.salvaged_instruct(raw).alias("instruct"))
 
 
@@ -532,6 +662,7 @@ def next_stages(spark, d):
 
 @query
 def resume_anti(spark, d):
-    """Books whose cast is not done yet."""
-    done = incremental.stage_state(table(spark, d, "stage_manifest")).where("stage = 'cast' AND done")
-    return incremental.not_done(table(spark, d, "books").select("book_id").distinct(), done, ["book_id"])
+    """Stages of books that are still to be done."""
+    done = incremental.stage_state(table(spark, d, "stage_manifest")).where("done")
+    work = table(spark, d, "books").select("book_id").distinct().select("book_id", F.explode(F.array(*map(F.lit, incremental.STAGES))).alias("stage"))
+    return incremental.not_done(work, done, ["book_id", "stage"])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from folioloom.functions import text as tx
+from folioloom.operators import voices as vx
+from folioloom.plans.headings import HEADINGS
 
 _WS = r"[\s\p{Z}]"
 _TITLES = ", ".join("'" + t + "'" for t in tx.TITLES)
@@ -44,6 +48,33 @@ def texts(x: str) -> str:
     return f"list_filter(coalesce({x}, []), lambda a: a IS NOT NULL AND {strip('a')} != '')"
 
 
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition is one ASCII character, and those whose is several."""
+    one, more = {}, {}
+    for c in map(chr, range(0x80, 0x20000)):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if plain and plain != c:
+            (one if len(plain) == 1 else more)[c] = plain
+    return one, more
+
+
+def ascii_of(x: str) -> str:
+    """A text decomposed, without what is not ASCII."""
+    one, more = _decomposed()
+    out = f"translate({x}, '{''.join(one)}', '{''.join(one.values()).replace(chr(39), chr(39) * 2)}')"
+    for c in "…ﬀﬁﬂﬃﬄ™№½¼¾‥":
+        out = f"replace({out}, '{c}', '{more[c]}')"
+    return f"regexp_replace({out}, '[^\\x00-\\x7F]', '', 'g')"
+
+
+def slug(x: str) -> str:
+    return f"CASE WHEN trim(regexp_replace(lower({ascii_of(x)}), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'someone' ELSE trim(regexp_replace(lower({ascii_of(x)}), '[^a-z0-9]+', '_', 'g'), '_') END"
+
+
+def folded(x: str) -> str:
+    return f"regexp_replace(lower({ascii_of(x)}), '[^a-z ]', '', 'g')"
+
+
 def ascii_tokens(x: str) -> str:
     words = f"list_filter(regexp_extract_all({x}, '[A-Za-z''\\-]+'), lambda w: regexp_matches(w, '^[A-Z]') AND {bare('w')} NOT IN ({_TITLES}))"
     return f"list_transform({words}, lambda w: {bare('w')})"
@@ -104,7 +135,7 @@ TAGGED = SCRIPT + ", " + NAME_INDEX + rf""", ahead AS (
 
 _BATCHED = """batched AS (
     SELECT *, CAST(floor(greatest(so_far - 1, 0) / per) AS INTEGER) AS batch FROM (
-        SELECT *, CASE WHEN total = 0 THEN 1 ELSE ceil(total / ceil(total / 12.0)) END AS per FROM (
+        SELECT *, CASE WHEN total = 0 THEN 1 ELSE ceil(total / ceil(total / {most}.0)) END AS per FROM (
             SELECT *, sum(CASE WHEN kind = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, n) AS total,
                 sum(CASE WHEN kind = 'quote' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, n ORDER BY id ROWS UNBOUNDED PRECEDING) AS so_far
             FROM {source})))"""
@@ -122,6 +153,16 @@ VOICES = COUNTS + ", " + CAST + rf""", gendered AS (
     SELECT book_id, speaker, CASE gender WHEN 'female' THEN 'extra_female_' || (turn % 2 + 1) ELSE 'extra_male_' || (turn % 3 + 1) END AS voice FROM turns
 )"""
 
+NARRATION = rf"""opening AS (
+    SELECT book_id, text FROM chapters WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY n, loaded_at DESC, chapter_id DESC) = 1
+), narration AS (
+    SELECT book_id, coalesce({strip('l[1]')}, 'It was a story told many times, and never quite the same way twice.') AS line FROM (
+        SELECT book_id, list_filter(flatten(list_transform(string_split(text, chr(10) || chr(10)),
+            lambda p: string_split(regexp_replace(p, '([.!?]){_WS}+', '\1' || chr(31), 'g'), chr(31)))),
+            lambda x: length(x) BETWEEN 60 AND 220 AND NOT contains(x, '“') AND NOT starts_with(lower(x), 'chapter') AND NOT starts_with(lower(x), 'volume')) AS l
+        FROM opening)
+)"""
+
 _SOUND = "sound AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 9)) AS a FROM embeddings)"
 
 
@@ -147,11 +188,10 @@ ORACLE: dict[str, str] = {
         SELECT chapter_id, 'Chapter ' || n AS heading, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS chars
         FROM (SELECT chapter_id, n, array_to_string(list_concat(['Chapter ' || n], l), chr(10) || chr(10)) AS t FROM p)
     """,
-    "chapter_filter": r"""
-        WITH k AS (SELECT *, regexp_extract(regexp_extract(text, '^[^\n]*'), '(?i)^((?:chapter|chapitre|kapitel|capítulo)\s.*)', 1) AS heading
-            FROM chapters WHERE text IS NOT NULL)
+    "chapter_filter": rf"""
+        WITH k AS (SELECT *, {strip("regexp_replace(regexp_extract(text, '^[^\\n]*'), '[\\s\\p{Z}]+', ' ', 'g')")} AS heading FROM chapters WHERE text IS NOT NULL)
         SELECT chapter_id, book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY n, chapter_id) AS INTEGER) AS number, heading
-        FROM k WHERE heading != ''
+        FROM k WHERE regexp_matches(heading, '(?i)^(?:{HEADINGS})')
     """,
     "chapter_index": """
         SELECT chapter_id, title, CAST(length(coalesce(text, '')) AS INTEGER) AS chars,
@@ -164,14 +204,14 @@ ORACLE: dict[str, str] = {
             string_split(coalesce(regexp_replace(author, '[<>&]', ' ', 'g'), '') || ' and Others', ' and ')[1] AS author, coalesce(language, '') AS language
         FROM books
     """,
-    "batches": f"WITH {SCRIPT}, {_BATCHED.format(source='script')} SELECT book_id, n, id, batch FROM batched",
+    "batches": f"WITH {SCRIPT}, {_BATCHED.format(source='script', most=12)} SELECT book_id, n, id, batch FROM batched",
     "batch_bounds": f"""
-        WITH {SCRIPT}, {_BATCHED.format(source='script')}
+        WITH {SCRIPT}, {_BATCHED.format(source='script', most=12)}
         SELECT book_id, n, batch, min(id) AS first_id, max(id) + 1 AS end_id, CAST(sum(CASE WHEN kind = 'quote' THEN 1 ELSE 0 END) AS BIGINT) AS quotes
         FROM batched GROUP BY book_id, n, batch
     """,
     "batch_prompts": f"""
-        WITH {TEXTS}, {_BATCHED.format(source='texts')}, lined AS (
+        WITH {TEXTS}, {_BATCHED.format(source='texts', most=12)}, lined AS (
             SELECT *, CASE WHEN kind = 'quote' THEN '[Q' || id || '] "' || text || '"' ELSE text END AS line,
                 coalesce(string_agg(text, ' ') OVER (PARTITION BY book_id, n ORDER BY id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), '') AS earlier
             FROM batched)
@@ -237,8 +277,9 @@ ORACLE: dict[str, str] = {
     """,
     "read_labels": f"""
         WITH {SCRIPT} SELECT s.seg_key,
-            CASE WHEN s.seg_key % 5 IN (0, 1, 2) AND s.speaker IN (SELECT id FROM cast_members) THEN s.speaker ELSE 'unknown' END AS speaker,
-            CASE WHEN s.seg_key % 5 IN (0, 2, 3) AND trim(coalesce(emotion, '')) != '' THEN emotion ELSE 'neutral' END AS emotion
+            CASE WHEN s.seg_key % 5 IN (0, 1, 2) AND EXISTS (SELECT 1 FROM cast_members c WHERE c.id = s.speaker
+                AND c.book_id = CASE WHEN s.seg_key % 7 = 6 THEN 'bk00000000' ELSE s.book_id END) THEN s.speaker ELSE 'unknown' END AS speaker,
+            CASE WHEN s.seg_key % 5 IN (0, 2, 3) AND coalesce(emotion, '') != '' THEN emotion ELSE 'neutral' END AS emotion
         FROM script s WHERE kind = 'quote'
     """,
     "accuracy": """
@@ -272,13 +313,7 @@ ORACLE: dict[str, str] = {
             CASE WHEN good THEN 0 ELSE 1 END, CASE WHEN good AND whole THEN 0 ELSE 1 END,
             CASE WHEN good THEN abs(length(text) - 140) ELSE -length(text) END, n, id) = 1
     """,
-    "narration_line": rf"""
-        WITH s AS (SELECT chapter_id, list_filter(flatten(list_transform(string_split(text, chr(10) || chr(10)),
-            lambda p: string_split(regexp_replace(p, '([.!?]){_WS}+', '\1' || chr(31), 'g'), chr(31)))),
-            lambda x: length(x) BETWEEN 60 AND 220 AND NOT contains(x, '“') AND NOT starts_with(lower(x), 'chapter') AND NOT starts_with(lower(x), 'volume')) AS l
-            FROM chapters WHERE text IS NOT NULL)
-        SELECT chapter_id, coalesce({strip('l[1]')}, 'It was a story told many times, and never quite the same way twice.') AS line FROM s
-    """,
+    "narration_line": f"WITH {NARRATION} SELECT book_id, line FROM narration",
     "stock_voices": f"WITH {SCRIPT}, {VOICES} SELECT book_id, speaker, voice FROM voices",
     "voice_map": f"""
         WITH {SCRIPT}, {VOICES} SELECT s.book_id, CASE WHEN s.kind = 'quote' THEN coalesce(v.voice, 'narrator') ELSE 'narrator' END AS voice, count(*) AS segments
@@ -361,31 +396,46 @@ ORACLE: dict[str, str] = {
             - a[CAST(floor(i * (len(a) - 1) / 39.0) AS BIGINT) + 1]) * (CAST(i AS DOUBLE) * (len(a) - 1) / 39 - floor(i * (len(a) - 1) / 39.0)), 5) + 0.0) AS resampled FROM sound
     """,
     "concat_clips": """
-        SELECT label, CAST(sum(len(embedding)) AS INTEGER) AS samples, CAST(sum(len(embedding)) AS DOUBLE) / 24000.0 AS seconds FROM embeddings GROUP BY label
+        SELECT label, list_transform(a, lambda x: round(CAST(x AS DOUBLE), 4) + 0.0) AS samples, CAST(len(a) AS DOUBLE) / 24000.0 AS seconds
+        FROM (SELECT label, flatten(list(embedding ORDER BY vec_id)) AS a FROM embeddings GROUP BY label)
+    """,
+    "tidy_clips": f"""
+        WITH {_SOUND}, f AS (SELECT vec_id, list_transform(a, lambda x: CAST(x AS FLOAT)) AS a FROM sound),
+        e AS (SELECT *, list_filter(range(1, len(a) + 1), lambda i: abs(a[i]) > CAST(0.02 AS FLOAT)) AS loud FROM f),
+        c AS (SELECT vec_id, CASE WHEN len(loud) > 0 THEN list_slice(a, greatest(1, loud[1] - 3), least(len(a), loud[len(loud)] + 2)) ELSE a END AS a FROM e),
+        r AS (SELECT *, sqrt(list_sum(list_transform(a, lambda x: CAST(x AS DOUBLE) * x)) / len(a)) AS level,
+            least(1, len(a) // 2) AS n_in, least(4, len(a) // 2) AS n_out FROM c)
+        SELECT vec_id, CAST(len(a) AS INTEGER) AS samples, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: power(
+            a[i] * CASE WHEN level > 0.0001 THEN 0.08 / level ELSE 1 END * CASE WHEN i <= n_in THEN 0 ELSE 1 END
+            * CASE WHEN i > len(a) - n_out THEN (len(a) - i) / CAST(n_out - 1 AS DOUBLE) ELSE 1 END, 2))) / len(a)), 4) AS rms FROM r
     """,
     "parse_answers": r"""
         SELECT entry_id, CASE WHEN json_valid(j) THEN j END AS json FROM (
-            SELECT entry_id, nullif(regexp_extract(persona || chr(10) || 'Done.', '(?s)\{.*\}'), '') AS j FROM cast_members WHERE persona IS NOT NULL)
+            SELECT entry_id, nullif(regexp_extract(regexp_replace('<think>{not this}' || chr(10) || '</think>Here it is:' || chr(10) || persona || chr(10) || 'Done.',
+                '(?s)<think>.*?</think>', '', 'g'), '(?s)\{.*\}'), '') AS j FROM cast_members WHERE persona IS NOT NULL)
     """,
     "salvage_instruct": r"""
-        SELECT entry_id, 'A calm voice for ' || regexp_replace(name, '["\\\x00-\x1f]', '', 'g') || ', "low".' AS instruct FROM cast_members WHERE name IS NOT NULL
+        WITH raw AS (SELECT entry_id, '{"instruct": ' || CAST(to_json('A "calm" voice for ' || name || '\') AS VARCHAR) || ', "why": "it says "so"}' AS raw FROM cast_members WHERE name IS NOT NULL)
+        SELECT entry_id, json_extract_string(regexp_extract(raw, '(?s)"instruct"\s*:\s*("(?:[^"\\]|\\.)*")', 1), '$') AS instruct FROM raw
     """,
     "line_number": "SELECT entry_id, CASE WHEN lines % 3 = 0 OR lines IS NULL THEN 0 ELSE lines END AS lines FROM cast_members",
     "stage_state": """
-        SELECT book_id, stage, done, seconds FROM stage_manifest
-        QUALIFY row_number() OVER (PARTITION BY book_id, stage ORDER BY done_at DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1
+        SELECT book_id, stage, done, seconds FROM stage_manifest QUALIFY row_number() OVER (PARTITION BY book_id, stage
+            ORDER BY done_at DESC NULLS LAST, loaded_at DESC NULLS LAST, done DESC NULLS LAST, seconds DESC NULLS LAST) = 1
     """,
     "next_stages": """
         WITH st AS (SELECT book_id, stage, done FROM stage_manifest
-            QUALIFY row_number() OVER (PARTITION BY book_id, stage ORDER BY done_at DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1),
+            QUALIFY row_number() OVER (PARTITION BY book_id, stage ORDER BY done_at DESC NULLS LAST, loaded_at DESC NULLS LAST, done DESC NULLS LAST, seconds DESC NULLS LAST) = 1),
         o AS (SELECT unnest(['extract', 'cast', 'attribute', 'voices', 'design', 'render', 'encode', 'publish']) AS stage, unnest(range(8)) AS place)
         SELECT b.book_id, arg_min(o.stage, o.place) AS stage FROM (SELECT DISTINCT book_id FROM stage_manifest) b, o
         WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.book_id = b.book_id AND st.stage = o.stage AND st.done) GROUP BY b.book_id
     """,
     "resume_anti": """
-        WITH st AS (SELECT book_id, stage, done FROM stage_manifest
-            QUALIFY row_number() OVER (PARTITION BY book_id, stage ORDER BY done_at DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1)
-        SELECT DISTINCT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM st WHERE stage = 'cast' AND done)
+        WITH st AS (SELECT book_id, stage, done FROM stage_manifest QUALIFY row_number() OVER (PARTITION BY book_id, stage
+            ORDER BY done_at DESC NULLS LAST, loaded_at DESC NULLS LAST, done DESC NULLS LAST, seconds DESC NULLS LAST) = 1),
+        o AS (SELECT unnest(['extract', 'cast', 'attribute', 'voices', 'design', 'render', 'encode', 'publish']) AS stage)
+        SELECT b.book_id, o.stage FROM (SELECT DISTINCT book_id FROM books) b, o
+        WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.book_id = b.book_id AND st.stage = o.stage AND st.done)
     """,
 }
 
@@ -406,3 +456,166 @@ _SEGMENTS = rf"""
         CAST(para AS INTEGER) AS para, kind, text FROM seg WHERE text != '')"""
 ORACLE["segments"] = _SEGMENTS + " SELECT chapter_id, id, para, kind, text FROM done"
 ORACLE["segment_counts"] = _SEGMENTS + " SELECT chapter_id, kind, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS chars FROM done GROUP BY chapter_id, kind"
+
+
+# ---- names in plain letters ----
+
+_SHARES = f"""
+    WITH {CAST}, p AS (SELECT book_id, id, name, notes, unnest(aliases) AS alias, aliases AS said FROM roster WHERE name IS NOT NULL),
+    t AS (SELECT *, {ascii_tokens(ascii_of('name'))} AS own, {ascii_tokens(ascii_of('alias'))} AS words,
+            flatten(list_transform(list_filter(said, lambda a: a IS NOT NULL AND a != alias), lambda a: {ascii_tokens(ascii_of('a'))})) AS others,
+            {title_gender('alias')} AS g, coalesce({title_gender('name')}, ({note_genders('notes')})[1]) AS known FROM p WHERE alias IS NOT NULL)
+    SELECT DISTINCT book_id, id, alias, len(words) > 0 AND NOT coalesce(g != known, false) AND (
+        len(list_filter(words, lambda w: NOT list_contains(list_concat(own, others), w))) = 0
+        OR (len(own) > 0 AND len(list_filter(own, lambda w: NOT list_contains(words, w))) = 0 AND list_contains(own, words[1]))) AS shares_name
+    FROM t"""
+ORACLE["shares_name"] = _SHARES
+ORACLE["slugs"] = f"SELECT entry_id, {slug('name')} AS slug, {folded('name')} AS folded FROM cast_members WHERE name IS NOT NULL"
+ORACLE["name_recognised"] = f"""
+    SELECT pron_id, contains({folded('respelling')}, {folded('name')}) AS recognised FROM pronunciations WHERE name IS NOT NULL AND respelling IS NOT NULL"""
+ORACLE["name_options"] = f"""
+    SELECT book_id, name, CAST(row_number() OVER (PARTITION BY book_id, name ORDER BY encode(respelling)) AS INTEGER) AS option, respelling AS spoken_as,
+        contains({folded("respelling || '. I said, ' || respelling || '.'")}, {folded('name')}) AS recognised
+    FROM (SELECT DISTINCT book_id, name, respelling FROM pronunciations WHERE name IS NOT NULL AND respelling IS NOT NULL)"""
+
+_W = r"\p{L}\p{N}_"
+_SAFE = r"regexp_replace(name, '([^\p{L}\p{N}_])', chr(1) || '\\\1' || chr(1), 'g')"
+# RE2 cannot look around: characters that are no letters stand between marks, so that names side by side share none.
+_MARKED = "regexp_replace({t}, '([^" + _W + "])', chr(1) || '\\1' || chr(1), 'g')"
+_PUT = (
+    "replace(regexp_replace(" + _MARKED + ", CASE WHEN regexp_matches(e.name, '^[" + _W + "]') THEN '(^|' || chr(1) || ')' ELSE '([" + _W + "])' END || e.safe || "
+    "CASE WHEN regexp_matches(e.name, '[" + _W + "]$') THEN '($|' || chr(1) || ')' ELSE '([" + _W + "])' END, '\\1' || replace(e.respelling, chr(92), chr(92) || chr(92)) || '\\2', 'g'), chr(1), '')"
+)
+ORACLE["respelled"] = rf"""
+    WITH RECURSIVE lex AS (
+        SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY length(name) DESC, ord, pron_id) AS place, {_SAFE} AS safe FROM (
+            SELECT * FROM pronunciations WHERE name IS NOT NULL AND respelling IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY book_id, name ORDER BY loaded_at DESC, pron_id DESC) = 1) WHERE regexp_matches(name, '[{_W}]')
+    ), held AS (
+        SELECT s.seg_key, s.text, e.name, e.safe, e.respelling, row_number() OVER (PARTITION BY s.seg_key ORDER BY e.place) AS k
+        FROM script_segments s JOIN lex e ON e.book_id = s.book_id AND contains(s.text, e.name)
+    ), step AS (
+        SELECT seg_key, text AS said, CAST(0 AS BIGINT) AS k FROM held WHERE k = 1
+        UNION ALL
+        SELECT p.seg_key, {_PUT.replace('{t}', 'p.said')}, e.k FROM step p JOIN held e ON e.seg_key = p.seg_key AND e.k = p.k + 1
+    )
+    SELECT f.seg_key, f.said AS spoken FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY seg_key ORDER BY k DESC) = 1) f
+    JOIN script_segments s ON s.seg_key = f.seg_key WHERE f.said != s.text"""
+
+# ---- casts and prompts ----
+
+_LISTED = f"list_sort(list({{{{'ord': ord, 'entry_id': entry_id, 'line': concat_ws(' | ', id, coalesce(name, ''), coalesce(array_to_string(coalesce(aliases, []), ', '), ''))}}}}))".replace("{{", "{").replace("}}", "}")
+_CASTS = f"casts AS (SELECT book_id, array_to_string(list_transform({_LISTED}, lambda m: m.line), chr(10)) AS listing FROM roster GROUP BY book_id)"
+_LISTS = "ids AS (SELECT book_id, list(id ORDER BY ord, entry_id) AS l FROM roster GROUP BY book_id)"
+ORACLE["cast_listing"] = f"""
+    WITH {CAST}, few AS (SELECT * FROM roster WHERE ord % 5 != 0 AND NOT suffix(book_id, '7')),
+    rows AS (SELECT book_id, list_sort(list({{'ord': ord, 'id': id, 'line': name || CASE WHEN array_to_string({texts('aliases')}, ', ') != ''
+        THEN ' | ' || array_to_string({texts('aliases')}, ', ') ELSE '' END}})) AS r FROM few GROUP BY book_id)
+    SELECT b.book_id, coalesce(array_to_string(list_transform(r, lambda x: x.line), chr(10)), '(empty)') AS listing
+    FROM (SELECT DISTINCT book_id FROM books) b LEFT JOIN rows ON rows.book_id = b.book_id"""
+ORACLE["merge_prompts"] = f"""
+    WITH {CAST} SELECT book_id, id, concat_ws(' | ', id, coalesce(name, ''), coalesce(array_to_string({texts('aliases')}, ', '), ''),
+        '[' || array_to_string(chapters[1:3], ', ') || ']', substr(coalesce(evidence[1], ''), 1, 80)) AS line FROM roster WHERE len(chapters) > 0"""
+
+
+def _either(x: str, none: str) -> str:
+    return f"CASE WHEN {x} != '' THEN {x} ELSE '{none}' END"
+
+
+def _noted(kind: str) -> str:
+    return _either(f"array_to_string(list_filter(coalesce(map_extract_value(notes, '{kind}'), []), lambda v: v IS NOT NULL), '/')", "?")
+
+
+ORACLE["brief_prompts"] = f"""
+    WITH {CAST}, todo AS (SELECT * FROM roster WHERE len(chapters) > 0 AND persona IS NULL)
+    SELECT book_id, id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY len(chapters) DESC, ord, entry_id) AS INTEGER) AS place,
+        md5(coalesce(name, '') || ' (' || id || '), also called ' || CASE WHEN len({texts('aliases')}) > 0 THEN array_to_string({texts('aliases')}, ', ') ELSE 'nothing else' END
+        || '; speaks in ' || len(chapters) || ' chapters, some ' || coalesce(lines, 0) || ' lines, first in chapter ' || chapters[1] || '.' || chr(10)
+        || 'Noted: gender ' || {_noted('gender')} || '; age ' || {_noted('age')} || '; origin ' || {_noted('origin')} || '; standing ' || {_noted('class')} || '. Disguises: '
+        || CASE WHEN len({texts('disguises')}) > 0 THEN array_to_string({texts('disguises')}, ', ') ELSE 'none' END || '.' || chr(10)
+        || {_either(f"array_to_string(({texts('evidence')})[1:40], chr(10))", '(no evidence)')}) AS body_md5 FROM todo"""
+
+_ASKED = f"""{TEXTS}, {CAST}, {_CASTS}, {_BATCHED.format(source='texts', most=120)}, lined AS (
+        SELECT *, CASE WHEN kind = 'quote' THEN '[Q' || id || '] "' || text || '"' ELSE text END AS line,
+            coalesce(string_agg(text, ' ') OVER (PARTITION BY book_id, n ORDER BY id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), '') AS earlier
+        FROM batched WHERE total > 0
+    ), asked AS (SELECT book_id, n, batch, arg_min(earlier, id) AS earlier, string_agg(line, chr(10) ORDER BY id) AS body FROM lined GROUP BY book_id, n, batch)"""
+ORACLE["label_prompts"] = f"""
+    WITH {_ASKED} SELECT a.book_id, a.n, a.batch, md5(coalesce(c.listing, '(none)') || chr(10) || chr(10)
+        || 'Say of each marked quotation which character speaks it, from what the narration tells and from the turns of the talk, and in which mood (one word). '
+        || 'Where no character of the list fits, the speaker is "unknown".' || chr(10)
+        || 'Answer with JSON alone: {{"quotes": {{"<number>": {{"speaker": "<id>", "emotion": "<mood>"}}}}}}' || chr(10) || chr(10)
+        || CASE WHEN earlier != '' THEN '(Before this part: ...' || earlier || ')' || chr(10) || chr(10) ELSE '' END || body) AS prompt_md5
+    FROM asked a LEFT JOIN casts c ON c.book_id = a.book_id"""
+_WHO = "coalesce(l[id % len(l) + 1], 'unknown')"
+ORACLE["label_batches"] = f"""
+    WITH {TEXTS}, {CAST}, {_LISTS}
+    SELECT s.book_id, s.n, s.id, CASE s.id % 3 WHEN 0 THEN '"' || {_WHO.replace('id %', 's.id %')} || '"'
+        WHEN 1 THEN '{{"emotion":"calm","speaker":"' || {_WHO.replace('id %', 's.id %')} || '"}}' ELSE '{{"emotion":"","speaker":{{"id":"' || {_WHO.replace('id %', 's.id %')} || '"}}}}' END AS label
+    FROM texts s LEFT JOIN ids ON ids.book_id = s.book_id WHERE s.kind = 'quote'"""
+
+_LABELLED = """spoken AS (
+    SELECT s.book_id, s.n, s.id, s.para, s.kind, s.text, CASE WHEN s.kind = 'quote' THEN coalesce(l[s.id % len(l) + 1], 'unknown') ELSE 'narrator' END AS speaker,
+        CASE WHEN s.kind = 'quote' AND s.id % 3 = 1 THEN 'calm' ELSE 'neutral' END AS emotion, CAST(NULL AS BOOLEAN) AS tag_override
+    FROM {source} s LEFT JOIN ids ON ids.book_id = s.book_id)"""
+_OVER = TAGGED[len(SCRIPT) :].replace("FROM script WINDOW", "FROM spoken WINDOW")
+ORACLE["attribute_chapters"] = f"""
+    {_SEGMENTS}, {CAST.replace('roster AS', 'members AS')}, {_LISTS.replace('FROM roster', 'FROM members')},
+    placed AS (SELECT c.book_id, d.chapter_id AS n, d.id, d.para, d.kind, d.text FROM done d JOIN chapters c ON c.chapter_id = d.chapter_id),
+    {_LABELLED.format(source='placed')}{_OVER}
+    SELECT n AS chapter_id, id, kind, speaker, emotion, now AS overridden_now FROM tagged"""
+ORACLE["profile_scores"] = f"""
+    WITH {TEXTS}, {CAST.replace('roster AS', 'members AS')}, {_LISTS.replace('FROM roster', 'FROM members')}, {_LABELLED.format(source='texts')}{_OVER}
+    SELECT 'rule' AS profile, t.book_id, t.n, count(*) AS quotes, count(*) FILTER (g.speaker IS NOT DISTINCT FROM t.speaker AND NOT coalesce(t.tag_override, false)) AS model_only,
+        count(*) FILTER (g.speaker IS NOT DISTINCT FROM t.speaker) AS with_tag_override
+    FROM tagged t JOIN texts g ON g.book_id = t.book_id AND g.n = t.n AND g.id = t.id WHERE t.kind = 'quote' GROUP BY t.book_id, t.n"""
+
+_NOTED = """last AS (SELECT book_id, n, text FROM chapters QUALIFY row_number() OVER (PARTITION BY book_id, n ORDER BY loaded_at DESC, chapter_id DESC) = 1)"""
+ORACLE["collect_notes"] = f"""
+    WITH {_NOTED} SELECT a.book_id, a.n, CAST(count(DISTINCT b.n % 7) AS INTEGER) AS known, CASE WHEN a.text IS NULL THEN 0 ELSE 1 END AS attempts
+    FROM last a LEFT JOIN last b ON b.book_id = a.book_id AND b.n < a.n AND b.text IS NOT NULL GROUP BY a.book_id, a.n, a.text"""
+ORACLE["collected_cast"] = f"""
+    WITH {_NOTED}, r AS (SELECT book_id, n, 'Reader ' || 'ABCDEFG'[n % 7 + 1] || 'ora' AS name FROM last WHERE text IS NOT NULL)
+    SELECT book_id, replace(lower(name), ' ', '_') AS id, name, CAST(count(*) FILTER (n % 2 = 0) AS INTEGER) AS chapters, CAST(coalesce(sum(n) FILTER (n % 2 = 0), 0) AS BIGINT) AS lines
+    FROM r GROUP BY book_id, name"""
+
+# ---- voices ----
+
+_MAPPED = VOICES.replace("counts AS (", "all_counts AS (").replace("FROM counts c", "FROM stocked c") .replace("turns AS (", """speaking AS (
+    SELECT c.*, r.name, c.lines >= 5 AND length(coalesce(r.name, '')) % 3 != 0 AS own FROM all_counts c JOIN roster r ON r.book_id = c.book_id AND r.id = c.speaker
+), stocked AS (SELECT book_id, speaker, lines, f FROM speaking WHERE NOT own
+), turns AS (""") + """, mapped AS (SELECT book_id, speaker, voice FROM voices UNION ALL SELECT book_id, speaker, speaker FROM speaking WHERE own)"""
+_SPOKEN = SCRIPT.replace("script AS", "raw AS", 1) + ", script AS (SELECT * FROM raw WHERE text IS NOT NULL)"
+ORACLE["voices_mapped"] = f"WITH {_SPOKEN}, {_MAPPED} SELECT book_id, speaker, voice FROM mapped"
+_STOCK = ", ".join(f"('{k}', '{v}')" for k, v in vx.STOCK_SOUNDS.items())
+_MADE = rf"""{_SPOKEN}, {_MAPPED}, {BOOKS}, {NARRATION}, best AS (
+    SELECT book_id, speaker, text AS line FROM (SELECT *, length(text) BETWEEN 60 AND 220 AS good, regexp_matches(text, '[.!?]{_WS}*$') AS whole FROM spoken)
+    QUALIFY row_number() OVER (PARTITION BY book_id, speaker ORDER BY CASE WHEN good THEN 0 ELSE 1 END, CASE WHEN good AND whole THEN 0 ELSE 1 END,
+        CASE WHEN good THEN abs(length(text) - 140) ELSE -length(text) END, n, id) = 1
+), made AS (
+    SELECT s.book_id, s.speaker AS id, 'The voice of ' || coalesce(s.name, '') AS instruct, b.line FROM speaking s JOIN best b ON b.book_id = s.book_id AND b.speaker = s.speaker WHERE own
+    UNION ALL SELECT DISTINCT m.book_id, k.id, k.instruct, '{vx.STOCK_LINE}' FROM mapped m JOIN (VALUES {_STOCK}) k(id, instruct) ON k.id = m.voice
+    UNION ALL SELECT s.book_id, 'narrator', '{vx.NARRATOR_SOUND}', coalesce(t.line, '{vx.NO_NARRATION}')
+        FROM (SELECT DISTINCT book_id FROM script) s LEFT JOIN narration t ON t.book_id = s.book_id
+)"""
+ORACLE["voices_made"] = f"WITH {_MADE} SELECT book_id, id, md5(instruct || '|' || line) AS voice_md5 FROM made"
+ORACLE["reading_plan"] = f"""
+    WITH {_SPOKEN}, {_MAPPED}, voiced AS (
+        SELECT s.book_id, s.n, s.id, s.para, s.text, CASE WHEN s.kind = 'quote' THEN coalesce(v.voice, 'narrator') ELSE 'narrator' END AS voice
+        FROM script s LEFT JOIN mapped v ON v.book_id = s.book_id AND v.speaker = s.speaker
+    ), {chunked('voiced', 'book_id, n, id, para, voice')}, clips AS (
+        SELECT book_id, n, id, para, voice, generate_subscripts(l, 1) AS chunk, unnest(l) AS piece FROM pieces
+    ), gaps AS (
+        SELECT *, CASE WHEN lag(id) OVER w IS NULL THEN 0.0 ELSE greatest(CASE WHEN lag(para) OVER w != para THEN 0.7 ELSE 0.25 END,
+            CASE WHEN lag(voice) OVER w != voice THEN 0.4 ELSE 0 END) END AS pause
+        FROM clips WINDOW w AS (PARTITION BY book_id, n ORDER BY id, chunk))
+    SELECT book_id, n, voice, count(*) AS pieces, CAST(sum(floor(CAST(pause AS DOUBLE) * 24000)) AS BIGINT) AS silence FROM gaps GROUP BY book_id, n, voice"""
+ORACLE["file_tags"] = f"""
+    WITH {DURATIONS}, {INDEX}, {BOOKS}, t AS (
+        SELECT d.book_id, d.n, coalesce(i.title, 'Chapter ' || d.n) AS title, coalesce(a.title, '') || ' (Full Cast)' AS album, coalesce(a.author, '') AS author
+        FROM durations d LEFT JOIN idx i ON i.book_id = d.book_id AND i.n = d.n JOIN about a ON a.book_id = d.book_id)
+    SELECT book_id, n, unnest(['title', 'album', 'artist', 'album_artist', 'genre', 'track']) AS tag,
+        unnest([title, album, author, author, 'Audiobook', CAST(n AS VARCHAR)]) AS value FROM t"""
+ORACLE["concat_listings"] = f"""
+    WITH {DURATIONS} SELECT book_id, string_agg('file ' || chr(39) || '/out/' || book_id || '/' || lpad(CAST(n AS VARCHAR), 3, '0') || '.wav' || chr(39), chr(10) ORDER BY n) || chr(10) AS listing
+    FROM durations GROUP BY book_id"""

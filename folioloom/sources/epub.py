@@ -5,12 +5,12 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions.arrow import html_text
@@ -65,10 +65,9 @@ def metadata(package: Column) -> list[Column]:
     return [first("title").alias("title"), author.alias("author"), first("language").alias("language")]
 
 
-def chapters(pages: DataFrame, book: str = "path", heading: str = r"chapter\s") -> DataFrame:
-    """(book, n, title, text): the pages with a heading that fits, numbered in order from 1."""
-    from pyspark.sql import Window
-
+def chapters(pages: DataFrame, book: str = "path", heading: str = r"chapter\s", keep: Sequence[str] = ()) -> DataFrame:
+    """(book, n, title, text, keep): the pages with a heading that fits, numbered in order of pos from 1.  heading: a
+    pattern for the start of a heading, such as those of several languages, case ignored."""
     read = pages.withColumn("page_text", html_text(F.col("html"), heading)).where(F.col("page_text.heading").isNotNull())
     n = F.row_number().over(Window.partitionBy(book).orderBy("pos"))
-    return read.select(book, n.alias("n"), F.col("page_text.heading").alias("title"), F.col("page_text.text").alias("text"))
+    return read.select(book, n.alias("n"), F.col("page_text.heading").alias("title"), F.col("page_text.text").alias("text"), *keep)
