@@ -8,6 +8,9 @@ knows typing errors, transpositions, initials and short forms of given names; th
 table itself, where one entry has both.  Entries linked so are grouped by star clustering, the entry with most links
 first, and entries known only by an initial, a given name or a title join the one cluster that they fit, if it is one.
 
+A book with few forms is judged in one task as a whole, a larger one over many tasks; the rules and the result are the
+same, and the larger are never collected.
+
 Genders that contradict each other and different generations (the Elder, the Younger) keep entries apart.
 
 Defined results: entries without a usable name or alias are linked to none; null and empty values say nothing; repeated
@@ -19,17 +22,22 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import cache, lru_cache
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioloom.llm.lookalikes import plain
-from folioloom.llm.survivor import usable
-from folioloom.session import materialize
+from folioloom.llm.survivor import EMPTY_WORDS, usable
+from folioloom.session import materialize, release
 
 # Titles by the gender they tell; fixed values.
 FEMALE_TITLES = set("mrs ms miss lady madame mme mlle mademoiselle baroness countess sister aunt frau fräulein fraulein sra señora senora doña dona donna госпожа г-жа श्रीमती".split())
@@ -121,10 +129,12 @@ def read_form(text: str) -> dict | None:
 
 
 def grams(words: list[str], script: str, q: int = 2) -> list[str]:
-    """Padded q-grams of each word; of names without spaces single characters and pairs."""
+    """Padded q-grams of each word; of names without spaces single characters and pairs, the pair around the ends too, as
+    such a name is kept in one of its rotations."""
     if script == "cjk":
         joined = "".join(words)
-        return sorted({*joined, *(joined[i : i + 2] for i in range(len(joined) - 1))})
+        around = joined + joined[0] if len(joined) > 2 else joined
+        return sorted({*joined, *(around[i : i + 2] for i in range(len(around) - 1))})
     out = set()
     for w in words:
         padded = "^" + w.rstrip(".") + ("$" if not w.endswith(".") else "")
@@ -222,7 +232,7 @@ def compare(a: dict, b: dict) -> str:
         if ka != kb:
             return ""
     kinds = {ka, kb}
-    full = {w: set(x) for form in (a, b) for w, x in form["full"].items()}
+    full = a["full"] | b["full"]
     if kinds <= {"full", "married"}:
         if min(len(wa), len(wb)) < 2:
             return ""
@@ -248,52 +258,111 @@ def compare(a: dict, b: dict) -> str:
     return ""
 
 
-_FORM = "struct<kind:string,script:string,words:array<string>,generation:string,gender:string,key:string,grams:array<string>>"
+# ---- MinHash over q-grams: the same signature whether a book is judged in one task or in many ----
 
+SIMILARITY, RECALL, ROWS = 0.35, 0.985, 2
+_BASE = np.random.default_rng(4)
+_TIMES = _BASE.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _BASE.integers(0, 1 << 63, 4096, dtype=np.uint64)
 
-@cache
-def _reader():
-    @F.pandas_udf(_FORM)
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            form = read_form(t) if t else None
-            rows.append({**form, "grams": grams(form["words"], form["script"])} if form else dict.fromkeys(("kind", "script", "words", "generation", "gender", "key", "grams")))
-        return pd.DataFrame(rows, columns=["kind", "script", "words", "generation", "gender", "key", "grams"])
 
-    return read
+@lru_cache(500_000)
+def _gram_hash(gram: str) -> int:
+    return xxhash.xxh64_intdigest(gram)
 
 
-def entry_forms(cast: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Forms (book_id, id, own, key, form) that an id is known by, and (book_id, id, gender, generation) of each id.
-    own: the form comes from the name, not from an alias.  Descriptions (epithets) are shared by persons and say
-    nothing."""
-    named = cast.where(usable(F.col("name"))).select("book_id", "id", F.col("name").alias("text"), F.lit(True).alias("own"))
-    aliases = cast.select("book_id", "id", F.explode("aliases").alias("text"), F.lit(False).alias("own")).where(usable(F.col("text")))
-    said = named.unionByName(aliases).where(F.col("book_id").isNotNull() & F.col("id").isNotNull())
-    said = said.groupBy("book_id", "id", "text").agg(F.max("own").alias("own"))
-    read = said.withColumn("form", _reader()(F.col("text"))).where(F.col("form.key").isNotNull())
-    forms = read.groupBy("book_id", "id", F.col("form.key").alias("key")).agg(
-        F.max("own").alias("own"), F.first("form").alias("form"), F.count("*").alias("texts")
-    )
+def band_keys(all_grams: list[list[str]], similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> np.ndarray:
+    """A row of band keys for each set of q-grams; sets of the similarity share a key with the probability `recall`."""
+    bands = bands_for(similarity, recall, rows)
+    starts = np.cumsum([0, *map(len, all_grams[:-1])])
+    h = np.array([_gram_hash(g) for grams in all_grams for g in grams], np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.empty((len(all_grams), bands), np.uint64)
+        for k in range(bands):
+            key = np.full(len(all_grams), k, np.uint64)
+            for r in range(k * rows, (k + 1) * rows):
+                mixed = h * _TIMES[r] + _PLUS[r]
+                least = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(31)), starts)
+                key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            out[:, k] = key
+    return out
+
+
+# ---- forms of entries ----
+
+_FORM_ROW = T.StructType(
+    [
+        T.StructField("book_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("gender", T.StringType()),
+        T.StructField("generation", T.StringType()), T.StructField("key", T.StringType()), T.StructField("own", T.BooleanType()),
+        T.StructField("texts", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("script", T.StringType()),
+        T.StructField("words", T.ArrayType(T.StringType())), T.StructField("form_generation", T.StringType()),
+    ]
+)
+_SEP = "\x1f"
+_read = lru_cache(200_000)(read_form)
+
+
+def _id_forms(key: tuple, texts: dict[str, bool], told: set[str]) -> list[tuple]:
+    """Rows of forms of one id.  texts: whether each is the name (True) or an alias; told: genders in the notes."""
+    forms: dict[str, list] = {}
+    titles, generations = set(), set()
+    for text, own in sorted(texts.items()):
+        form = _read(text)
+        if form is not None:
+            held = forms.setdefault(form["key"], [form, False, 0])
+            held[1] |= own
+            held[2] += 1
+            titles.add(form["gender"])
+            if own and form["generation"]:
+                generations.add(form["generation"])
+    said = told & {"m", "f"} or titles & {"m", "f"}
+    if told >= {"m", "f"}:
+        said = titles & {"m", "f"}
+    gender = next(iter(said)) if len(said) == 1 else None
+    return [(*key, gender, max(generations, default=""), k, own, n, f["kind"], f["script"], f["words"], f["generation"] if f["kind"] == "full" else "") for k, (f, own, n) in forms.items()]
+
+
+def entry_forms(cast: DataFrame) -> DataFrame:
+    """Forms (book_id, id, gender, generation, key, own, texts, kind, script, words, form_generation) that an id is
+    known by; gender and generation are the id's, from its notes and titles.  own: the form comes from the name, not
+    from an alias.  Descriptions (epithets) are shared by persons and say nothing."""
     noted = F.transform(F.element_at("notes", "gender"), lambda x: F.lower(F.trim(x)))
-    told = cast.groupBy("book_id", "id").agg(
-        F.max(F.coalesce(F.array_contains(noted, "male"), F.lit(False))).alias("male"),
-        F.max(F.coalesce(F.array_contains(noted, "female"), F.lit(False))).alias("female"),
-    )
-    by_title = forms.groupBy("book_id", "id").agg(
-        F.max(F.when(F.col("own"), F.col("form.generation"))).alias("generation"),
-        F.max(F.col("form.gender") == "m").alias("mister"),
-        F.max(F.col("form.gender") == "f").alias("mistress"),
-    )
-    gender = (
-        F.when(F.col("male") & ~F.col("female"), "m")
-        .when(F.col("female") & ~F.col("male"), "f")
-        .when(F.col("mister") & ~F.col("mistress"), "m")
-        .when(F.col("mistress") & ~F.col("mister"), "f")
-    )
-    ids = by_title.join(told, ["book_id", "id"]).select("book_id", "id", gender.alias("gender"), "generation")
-    return forms, ids
+    has = lambda g: F.coalesce(F.array_contains(noted, g), F.lit(False))
+    names = F.when(usable(F.col("name")), F.col("name"))
+    aliases = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: x.isNotNull() & ~x.contains(_SEP))
+    rows = cast.where(F.col("book_id").isNotNull() & F.col("id").isNotNull())
+    # Rows delivered again are one before they are shuffled by id.
+    rows = rows.select("book_id", "id", names.alias("name"), F.array_join(aliases, _SEP).alias("aliases"), has("male").alias("m"), has("female").alias("f")).distinct()
+    schema = to_arrow_schema(_FORM_ROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held, texts, told = None, {}, set()
+        for batch in batches:
+            for book, id_, name, more, m, f in zip(*[c.to_pylist() for c in batch.columns]):
+                if (book, id_) != held:
+                    if held is not None:
+                        out += _id_forms(held, texts, told)
+                    held, texts, told = (book, id_), {}, set()
+                if name is not None:
+                    texts[name] = True
+                for alias in more.split(_SEP) if more else ():
+                    if alias.strip().lower() not in EMPTY_WORDS:
+                        texts.setdefault(alias, False)
+                told |= {g for g, yes in (("m", m), ("f", f)) if yes}
+            if len(out) > 5000:
+                yield _rows(out, schema)
+                out = []
+        if held is not None:
+            out += _id_forms(held, texts, told)
+        if out:
+            yield _rows(out, schema)
+
+    return rows.repartition("book_id", "id").sortWithinPartitions("book_id", "id").mapInArrow(run, _FORM_ROW)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def short_forms(forms: DataFrame, least_books: int = 2) -> DataFrame:
@@ -301,10 +370,10 @@ def short_forms(forms: DataFrame, least_books: int = 2) -> DataFrame:
     words but one, or an alias of one word beside a full name; a pair counts from `least_books` books on, and in the
     second case if it makes up half of the books with that alias.  Each form is held against the id's commonest full
     one, so that no id, however many forms it has, gives more pairs than forms."""
-    letters = forms.where(F.col("form.script") == "letters")
-    full = letters.where((F.col("form.kind") == "full") & (F.size("form.words") == 2))
-    hub = full.groupBy("book_id", "id").agg(F.max_by("form.words", F.struct("texts", "key")).alias("hub"))
-    words = F.col("form.words")
+    letters = forms.where(F.col("script") == "letters")
+    full = letters.where((F.col("kind") == "full") & (F.size("words") == 2))
+    hub = full.groupBy("book_id", "id").agg(F.max_by("words", F.struct("texts", "key")).alias("hub"))
+    words = F.col("words")
     first = lambda x: F.get(x, F.lit(0))
     pairs = (
         full.join(hub, ["book_id", "id"])
@@ -313,7 +382,7 @@ def short_forms(forms: DataFrame, least_books: int = 2) -> DataFrame:
         .where("a IS NOT NULL AND b IS NOT NULL")
     )
     alone = (
-        letters.where((F.col("form.kind") == "single") & ~F.col("own"))
+        letters.where((F.col("kind") == "single") & ~F.col("own"))
         .join(hub, ["book_id", "id"])
         .select("book_id", first(words).alias("a"), "hub")
         .where(~F.array_contains(F.col("hub"), F.col("a")))
@@ -335,18 +404,16 @@ def short_forms(forms: DataFrame, least_books: int = 2) -> DataFrame:
     return counted.groupBy(F.col("a").alias("word")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("books", "b"))))["b"].alias("full"))
 
 
-def candidate_forms(forms: DataFrame, similarity: float = 0.35, recall: float = 0.985, rows: int = 2) -> DataFrame:
-    """Pairs (book_id, a, b) of a book's forms that share a band, a < b; the forms as structs with key, kind, words."""
-    bands = bands_for(similarity, recall, rows)
-    single = forms.groupBy("book_id", "key").agg(F.first("form").alias("form"))
-    hashed = F.transform("form.grams", lambda g: F.xxhash64(g))
-    with_hash = single.select("book_id", "key", hashed.alias("h"))
+def candidate_forms(forms: DataFrame) -> DataFrame:
+    """Pairs (book_id, a, b) of a book's forms (book_id, key, words, script) that share a band, a < b."""
 
-    def least(i: int) -> Column:
-        return F.array_min(F.transform("h", lambda x: F.xxhash64(x, F.lit(i))))
+    @F.pandas_udf("array<bigint>")
+    def bands(words: pd.Series, scripts: pd.Series) -> pd.Series:
+        if not len(words):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(band_keys([grams(list(w), s) for w, s in zip(words, scripts)]).view(np.int64)))
 
-    keys = F.array(*[F.xxhash64(F.lit(k), *[least(k * rows + r) for r in range(rows)]) for k in range(bands)])
-    banded = with_hash.select("book_id", "key", F.explode(keys).alias("band"))
+    banded = forms.select("book_id", "key", F.explode(bands("words", "script")).alias("band"))
     left = banded.select("book_id", "band", F.col("key").alias("a"))
     right = banded.select("book_id", "band", F.col("key").alias("b"))
     return left.join(right, ["book_id", "band"]).where("a < b").select("book_id", "a", "b").distinct()
@@ -360,8 +427,8 @@ def _judge(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             links = []
             for a, b, fa, fb, na, nb in zip(batch["a"], batch["b"], batch["fa"], batch["fb"], batch["na"], batch["nb"]):
-                x = {"key": a, "kind": fa["kind"], "script": fa["script"], "words": list(fa["words"]), "generation": fa["generation"], "full": dict(na or {})}
-                y = {"key": b, "kind": fb["kind"], "script": fb["script"], "words": list(fb["words"]), "generation": fb["generation"], "full": dict(nb or {})}
+                x = {"key": a, "kind": fa["kind"], "script": fa["script"], "words": list(fa["words"]), "generation": fa["generation"], "full": {w: set(v) for w, v in dict(na or {}).items()}}
+                y = {"key": b, "kind": fb["kind"], "script": fb["script"], "words": list(fb["words"]), "generation": fb["generation"], "full": {w: set(v) for w, v in dict(nb or {}).items()}}
                 links.append(compare(x, y))
             out = batch[["book_id", "a", "b"]].assign(link=links)
             yield out[out["link"] != ""]
@@ -369,31 +436,32 @@ def _judge(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "book_id string, a string, b string, link string")
 
 
-def entry_links(cast: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ids (book_id, id), and links (book_id, a, b, strong) between ids of a book, a < b."""
-    forms, ids = entry_forms(cast)
-    forms = materialize(forms, "forms")
-    names = short_forms(forms)
+def entry_links(forms: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids (book_id, id), and links (book_id, a, b, strong) between ids of a book, a < b.  forms: see `entry_forms`;
+    names: see `short_forms`.  Books of any size, over many tasks."""
+    ids = forms.select("book_id", "id", "gender", "generation").distinct()
     # The longer forms of each form's words.
-    words = forms.groupBy("book_id", "key").agg(F.first("form").alias("form"))
-    word = words.select("book_id", "key", F.explode("form.words").alias("word"))
+    form = F.struct("kind", "script", "words", F.col("form_generation").alias("generation"), "key").alias("form")
+    words = forms.groupBy("book_id", "key").agg(F.first("words").alias("words"), F.first("script").alias("script"), F.first("kind").alias("kind"), F.first("form_generation").alias("form_generation"))
+    word = words.select("book_id", "key", F.explode("words").alias("word"))
     longer = word.join(names, "word").groupBy("book_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("word", "full"))).alias("more"))
-    known = words.join(longer, ["book_id", "key"], "left").withColumn("form", F.col("form").dropFields("grams"))
-    known = materialize(known, "known")
-    met = candidate_forms(forms)
+    known = materialize(words.join(longer, ["book_id", "key"], "left").select("book_id", "key", "words", "script", form, "more"), "known")
+    met = candidate_forms(known)
     a = known.select("book_id", F.col("key").alias("a"), F.col("form").alias("fa"), F.col("more").alias("na"))
     b = known.select("book_id", F.col("key").alias("b"), F.col("form").alias("fb"), F.col("more").alias("nb"))
     judged = _judge(met.join(a, ["book_id", "a"]).join(b, ["book_id", "b"]))
     same = known.select(
-        "book_id", F.col("key").alias("a"), F.col("key").alias("b"),
-        F.when(F.col("form.kind").isin("full", "initial", "married"), "strong").otherwise("weak").alias("link"),
-    )
-    of_a = forms.select("book_id", F.col("key").alias("a"), F.col("id").alias("ida"), F.col("own").alias("own_a"), F.col("form.kind").alias("kind_a"))
-    of_b = forms.select("book_id", F.col("key").alias("b"), F.col("id").alias("idb"), F.col("own").alias("own_b"), F.col("form.kind").alias("kind_b"))
-    pairs = judged.unionByName(same).join(of_a, ["book_id", "a"]).join(of_b, ["book_id", "b"]).where("ida != idb")
-    # A weak form speaks for a person where somebody goes by it; as an alias it may be a whole family's.
-    named = lambda own, kind: F.col(own) & (F.col(kind) != "full")
-    pairs = pairs.where((F.col("link") == "strong") | named("own_a", "kind_a") | named("own_b", "kind_b"))
+        "book_id", F.col("key").alias("a"), F.col("key").alias("b"), F.when(F.col("form.kind").isin(*_STRONG_KINDS), "strong").otherwise("weak").alias("link")
+    )
+    of_a = forms.select("book_id", F.col("key").alias("a"), F.col("id").alias("ida"), (F.col("own") & (F.col("kind") != "full")).alias("own_a"))
+    of_b = forms.select("book_id", F.col("key").alias("b"), F.col("id").alias("idb"), (F.col("own") & (F.col("kind") != "full")).alias("own_b"))
+    alike = judged.unionByName(same)
+    # A weak form speaks for a person where somebody goes by it; as an alias it may be a whole family's, and all pairs
+    # of those who have it as an alias are never made.
+    strong = alike.where("link = 'strong'").join(of_a, ["book_id", "a"]).join(of_b, ["book_id", "b"])
+    weak = alike.where("link = 'weak'")
+    weak = weak.join(of_a.where("own_a"), ["book_id", "a"]).join(of_b, ["book_id", "b"]).unionByName(weak.join(of_b.where("own_b"), ["book_id", "b"]).join(of_a, ["book_id", "a"]), True)
+    pairs = strong.unionByName(weak, True).where("ida != idb")
     linked = pairs.groupBy(
         "book_id", F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")
     ).agg(F.max((F.col("link") == "strong")).alias("strong"))
@@ -405,8 +473,10 @@ def entry_links(cast: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(~F.coalesce(apart, F.lit(False)))
         .select("book_id", "a", "b", (F.col("strong") & (F.col("gen_a") == F.col("gen_b"))).alias("strong"))
     )
-    links = materialize(links, "links")
-    return ids.select("book_id", "id"), materialize(_one_gender(links, ids), "links")
+    first = materialize(links, "links")
+    last = materialize(_one_gender(first, ids), "links")
+    release(known, first)
+    return ids.select("book_id", "id"), last
 
 
 def _one_gender(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -430,15 +500,15 @@ def _one_gender(links: DataFrame, ids: DataFrame) -> DataFrame:
 
 def star_clusters(links: DataFrame) -> DataFrame:
     """(book_id, id, star) of every id with a link.  Of the ids not yet in a cluster, one that has more links to such
-    than all its neighbours is a star; its free neighbours join it, each the star with most links.  So on until none is
-    left.  links: book_id, a, b, once each."""
+    than all its neighbours (as many: by a hash, so that rounds are few) is a star; its free neighbours join it, each the
+    star with most links.  So on until none is left.  links: book_id, a, b, once each."""
     both = links.select("book_id", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
         links.select("book_id", F.col("b").alias("id"), F.col("a").alias("other"))
     )
     free = materialize(both, "free")
     parts = []
     while True:  # every round takes at least one star, that of most links, and its neighbours out of each component
-        degree = free.groupBy("book_id", "id").agg(F.struct(F.count("*").alias("n"), F.col("id").alias("key")).alias("weight"))
+        degree = free.groupBy("book_id", "id").agg(F.struct(F.count("*").alias("n"), F.xxhash64("id").alias("by"), F.col("id").alias("key")).alias("weight"))
         other = degree.select("book_id", F.col("id").alias("other"), F.col("weight").alias("other_weight"))
         seen = free.join(other, ["book_id", "other"])
         best = seen.groupBy("book_id", "id").agg(F.max("other_weight").alias("best")).join(degree, ["book_id", "id"])
@@ -450,8 +520,10 @@ def star_clusters(links: DataFrame) -> DataFrame:
         part = materialize(part, "stars")
         parts.append(part)
         gone = part.select("book_id", "id")
-        free = free.join(gone, ["book_id", "id"], "left_anti").join(gone.withColumnRenamed("id", "other"), ["book_id", "other"], "left_anti")
-        free = materialize(free, "free")
+        rest = free.join(gone, ["book_id", "id"], "left_anti").join(gone.withColumnRenamed("id", "other"), ["book_id", "other"], "left_anti")
+        rest = materialize(rest, "free")
+        release(free)
+        free = rest
         if free.isEmpty():
             break
     out = parts[0]
@@ -460,9 +532,8 @@ def star_clusters(links: DataFrame) -> DataFrame:
     return out
 
 
-def same_persons(cast: DataFrame) -> DataFrame:
-    """(book_id, id, person) of every id of the table that has a name; person: one id of the cluster."""
-    ids, links = entry_links(cast)
+def _persons_of_links(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(book_id, id, person) from links over many tasks."""
     stars = star_clusters(links.where("strong"))
     placed = materialize(
         ids.join(stars, ["book_id", "id"], "left").select("book_id", "id", F.coalesce("star", "id").alias("star")), "placed"
@@ -491,9 +562,183 @@ def same_persons(cast: DataFrame) -> DataFrame:
     return moved.join(up, ["book_id", "star"], "left").select("book_id", "id", F.coalesce("up", "star").alias("person"))
 
 
-def same_person_pairs(cast: DataFrame) -> DataFrame:
+# ---- a whole book in one task ----
+
+MOST_FORMS, MOST_SHORT = 4000, 100_000
+_STRONG_KINDS = ("full", "initial", "married")
+
+
+def _candidates(forms: list[dict]) -> list[tuple[int, int]]:
+    """Places of forms that share a band."""
+    keys = band_keys([grams(f["words"], f["script"]) for f in forms])
+    n = len(forms)
+    met = np.zeros((n, n), bool)
+    for k in range(keys.shape[1]):
+        column = keys[:, k]
+        met |= column[:, None] == column[None, :]
+    return list(zip(*(x.tolist() for x in np.nonzero(np.triu(met, 1)))))
+
+
+def book_links(rows: list[tuple], names: dict[str, set[str]]) -> tuple[dict[str, tuple], dict[tuple[str, str], bool]]:
+    """Gender and generation of a book's ids, and its links (a, b) -> strong, a < b: what `entry_links` gives."""
+    about, forms, holders = {}, {}, defaultdict(list)
+    for _, id_, gender, generation, key, own, _, kind, script, words, form_generation in rows:
+        about[id_] = gender, generation or ""
+        if key not in forms:
+            more = {w: names[w] for w in words if w in names}
+            forms[key] = {"key": key, "kind": kind, "script": script, "words": words, "generation": form_generation, "full": more}
+        holders[key].append((id_, own and kind != "full"))
+    order = [forms[k] for k in sorted(forms, key=lambda k: k.encode())]
+    alike = [(f, f, "strong" if f["kind"] in _STRONG_KINDS else "weak") for f in order]
+    alike += [(order[i], order[j], link) for i, j in _candidates(order) if (link := compare(order[i], order[j]))]
+    links: dict[tuple[str, str], bool] = {}
+    for x, y, link in alike:
+        here, there = holders[x["key"]], holders[y["key"]]
+        if link == "weak":
+            met = [(a, b) for a, own in here if own for b, _ in there] + [(a, b) for b, own in there if own for a, _ in here]
+        else:
+            met = [(a, b) for a, _ in here for b, _ in there]
+        for a, b in met:
+            if a != b:
+                pair = (a, b) if a.encode() < b.encode() else (b, a)
+                links[pair] = links.get(pair, False) or link == "strong"
+    kept = {}
+    for (a, b), strong in links.items():
+        (ga, na), (gb, nb) = about[a], about[b]
+        if not (ga and gb and ga != gb or na and nb and na != nb):
+            kept[a, b] = strong and na == nb
+    return about, _fit_genders(about, kept)
+
+
+def _fit_genders(about: dict[str, tuple], links: dict[tuple[str, str], bool]) -> dict[tuple[str, str], bool]:
+    """As `_one_gender`."""
+    count: dict[str, dict[str, int]] = defaultdict(lambda: {"m": 0, "f": 0})
+    for (a, b), strong in links.items():
+        for x, y in ((a, b), (b, a)):
+            if about[x][0] is None and about[y][0] and strong:
+                count[x][about[y][0]] += 1
+    gone = set()
+    for a, b in links:
+        for x, y in ((a, b), (b, a)):
+            g = about[y][0]
+            if about[x][0] is None and g and x in count and count[x]["m"] and count[x]["f"] and count[x][g] <= count[x]["m" if g == "f" else "f"]:
+                gone.add((a, b))
+    return {k: v for k, v in links.items() if k not in gone}
+
+
+def book_stars(links: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """As `star_clusters`."""
+    free: dict[str, set[str]] = defaultdict(set)
+    for a, b in links:
+        free[a].add(b)
+        free[b].add(a)
+    out: dict[str, str] = {}
+    by = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in free}
+    by = {x: (h - (1 << 64) if h >> 63 else h, x.encode()) for x, h in by.items()}
+    while free:
+        weight = {x: (len(n), *by[x]) for x, n in free.items()}
+        stars = {x for x, n in free.items() if all(weight[x] > weight[y] for y in n)}
+        taken = {x: max((y for y in n if y in stars), key=weight.__getitem__) for x, n in free.items() if x not in stars and n & stars}
+        taken |= {x: x for x in stars}
+        out |= taken
+        free = {x: rest for x, n in free.items() if x not in taken and (rest := n - taken.keys())}
+    return out
+
+
+def book_persons(rows: list[tuple], names: dict[str, set[str]]) -> dict[str, str]:
+    """Id -> person of one book, from its rows of forms: the same as over many tasks."""
+    about, links = book_links(rows, names)
+    placed = {x: x for x in about} | book_stars(k for k, strong in links.items() if strong)
+    members = Counter(placed.values())
+    goals: dict[str, set[str]] = defaultdict(set)
+    for (a, b), strong in links.items():
+        if not strong:
+            for x, y in ((a, b), (b, a)):
+                if members[placed[x]] == 1:
+                    goals[x].add(placed[y])
+    fits = {}
+    for x, g in goals.items():
+        goal = next(iter(g))
+        # Of two single ids that fit each other, one moves.
+        if len(g) == 1 and (members[goal] > 1 or goal.encode() < x.encode()):
+            fits[x] = goal
+    moved = {x: fits.get(x, star) for x, star in placed.items()}
+    return {x: fits.get(star, star) for x, star in moved.items()}
+
+
+_PERSON = T.StructType(
+    [T.StructField("book_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("person", T.StringType()), T.StructField("others", T.ArrayType(T.StringType()))]
+)
+
+
+def _by_book(forms: DataFrame, names: dict[str, set[str]], most: int) -> DataFrame:
+    """(book_id, id, person, others) of books of at most `most` forms; others: ids of the person after this one."""
+    schema = to_arrow_schema(_PERSON)
+    sent = forms.sparkSession.sparkContext.broadcast(names)
+
+    def judged(rows: list[tuple]) -> list[tuple]:
+        if len(rows) > most:
+            return []
+        persons = book_persons(rows, sent.value)
+        groups: dict[str, list[str]] = defaultdict(list)
+        for x in sorted(persons, key=str.encode):
+            groups[persons[x]].append(x)
+        return [(rows[0][0], x, p, g[k + 1 :]) for p, g in groups.items() for k, x in enumerate(g)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and held[0][0] != row[0]:
+                    out += judged(held)
+                    held = []
+                if len(held) <= most:  # a larger book is told apart by one row more, and dropped here
+                    held.append(row)
+            if len(out) > 5000:
+                yield _rows(out, schema)
+                out = []
+        if held:
+            out += judged(held)
+        if out:
+            yield _rows(out, schema)
+
+    return forms.repartition("book_id").sortWithinPartitions("book_id").mapInArrow(run, _PERSON)
+
+
+def persons_with_others(cast: DataFrame, most_forms: int = MOST_FORMS, most_short: int = MOST_SHORT) -> tuple[DataFrame | None, DataFrame | None]:
+    """Persons of the books of at most `most_forms` forms, judged a book a task (with others, see `_by_book`), and
+    (book_id, id, person) of all larger ones, judged over many tasks by the same rules; None for none.  Short forms of
+    given names are learnt from all books, and sent to the tasks if they are at most `most_short`."""
+    forms = materialize(entry_forms(cast), "forms")
+    names = materialize(short_forms(forms), "short")
+    sizes = forms.groupBy("book_id").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > most_forms).select("book_id")
+    known = names.limit(most_short + 1).collect()
+    if len(known) > most_short:
+        return None, _persons_of_links(*entry_links(forms, names))
+    small = _by_book(forms, {r["word"]: set(r["full"]) for r in known}, most_forms)
+    if large.isEmpty():
+        return small, None
+    return small, _persons_of_links(*entry_links(materialize(forms.join(large, "book_id", "left_semi"), "large"), names))
+
+
+def same_persons(cast: DataFrame, **most: int) -> DataFrame:
+    """(book_id, id, person) of every id of the table that has a name; person: one id of the cluster."""
+    small, large = persons_with_others(cast, **most)
+    parts = [p.select("book_id", "id", "person") for p in (small, large) if p is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def same_person_pairs(cast: DataFrame, **most: int) -> DataFrame:
     """(book_id, id_a, id_b): all pairs of different ids of one person, id_a < id_b in byte order."""
-    persons = materialize(same_persons(cast), "persons")
-    a = persons.select("book_id", "person", F.col("id").alias("id_a"))
-    b = persons.select("book_id", "person", F.col("id").alias("id_b"))
-    return a.join(b, ["book_id", "person"]).where("id_a < id_b").select("book_id", "id_a", "id_b")
+    small, large = persons_with_others(cast, **most)
+    parts = []
+    if small is not None:
+        parts.append(small.select("book_id", F.col("id").alias("id_a"), F.explode("others").alias("id_b")))
+    if large is not None:
+        persons = materialize(large, "persons")
+        a = persons.select("book_id", "person", F.col("id").alias("id_a"))
+        b = persons.select("book_id", "person", F.col("id").alias("id_b"))
+        parts.append(a.join(b, ["book_id", "person"]).where("id_a < id_b").select("book_id", "id_a", "id_b"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

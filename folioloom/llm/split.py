@@ -1,10 +1,12 @@
 """Problem 1: cutting texts over a limit into overlapping pieces at natural boundaries.
 
 A piece after the first starts exactly ``overlap`` code points before the end of the piece before it.  Where the
-pieces end is found by dynamic programming over boundary positions: the cost of a plan is the sum of the penalties of
+pieces end is found by dynamic programming over all boundary positions (``boundary_positions``), so that no plan over
+these costs less: the cost of a plan is the sum of the penalties of
 its cuts (small after a paragraph, larger after a sentence, a clause, a word, between characters), of a piece that
-starts inside a word, of every further piece, and of pieces that differ from the even size.  Where a window of the
-limit holds no boundary of words, any position that does not part a letter from its combining marks may be cut.
+starts inside a word, of every further piece, and of pieces that differ from the even size.  Where a stretch longer
+than a quarter of a piece holds no boundary of words, any position may be cut that does not part a letter from its
+combining marks.
 
 Defined results: a text of at most ``max_chars`` code points, an empty and a null one is not split and has no row;
 pieces are never longer than the limit; dropping the overlaps gives the text back.
@@ -56,6 +58,21 @@ def cut_penalties(text: str) -> np.ndarray:
     return out
 
 
+def boundary_positions(penalty: np.ndarray, overlap: int, step: int) -> np.ndarray:
+    """Where pieces may end: 0, all natural boundaries behind the overlap, the end; and in stretches longer than a
+    quarter of a step that have none, every position that does not part a letter from its marks."""
+    n = len(penalty) - 1
+    natural = penalty < ANY
+    natural[[0, n]] = True
+    natural[1 : overlap + 1] = False
+    at = np.flatnonzero(natural)
+    at = np.unique(np.concatenate([at, [overlap]])) if 0 < overlap < n else at
+    gaps = np.flatnonzero(np.diff(at) > step // 4)
+    more = [np.flatnonzero(penalty[at[g] + 1 : at[g + 1]] < NEVER) + at[g] + 1 for g in gaps if at[g] >= overlap]
+    out = np.unique(np.concatenate([at, *more])) if more else at
+    return out[(out == 0) | (out > overlap)]
+
+
 def plan_cuts(text: str, max_chars: int, overlap: int) -> list[int]:
     """Ends of the pieces of a text longer than max_chars."""
     if not 0 <= overlap < max_chars:
@@ -64,41 +81,34 @@ def plan_cuts(text: str, max_chars: int, overlap: int) -> list[int]:
     penalty = cut_penalties(text)
     begins = np.where(penalty <= WORD + 0.5, 0.0, _START)  # of a piece that starts here
     begins[penalty >= NEVER] = 4.0
-    at = np.array([overlap, n])
-    for most, room in ((CLAUSE, 0), (ANY - 1, step // 8), (NEVER - 1, step // 4), (NEVER, step)):
-        # Weaker boundaries count where there is no stronger one for a while.
-        fit = np.flatnonzero(penalty <= most)
-        fit = fit[(fit > overlap) & (fit < n)]
-        k = np.searchsorted(at, fit)
-        at = np.unique(np.concatenate([at, fit[at[k] - at[k - 1] > room]]))
-    at = np.unique(np.concatenate([[0], at[at > overlap], [n]]))
+    at = boundary_positions(penalty, overlap, step)
     # What is the same text in every plan: the fewest pieces, and their even size.
     fewest = -(-(n - overlap) // step)
     even = (n + (fewest - 1) * overlap) / fewest
     cut = penalty[at].copy()
     cut[-1] = 0.0
-    cost = np.full(len(at), np.inf)
-    cost[0] = 0.0
-    came = np.zeros(len(at), np.int64)
-    lead = np.zeros(len(at))  # penalty of the piece that starts `overlap` before this cut
+    # Cost up to each cut, with that of beginning the piece that starts `overlap` before it.
+    lead = np.zeros(len(at))
     lead[1:] = begins[np.maximum(at[1:] - overlap, 0)]
-    lo = 1
-    for i in range(1, len(at)):
-        while at[i] - at[lo] > step:
-            lo += 1
-        best, j = np.inf, -1
+    uneven = _EVEN * ((np.arange(step + 1) + overlap - even) / max_chars) ** 2  # by how far a cut is from the one before
+    ready = np.full(len(at), np.inf)
+    came = np.zeros(len(at), np.int64)
+    first_in_reach = np.searchsorted(at, at - step).tolist()
+    place, price = at.tolist(), (cut + _PIECE).tolist()
+    whole = (_EVEN * ((at - even) / max_chars) ** 2).tolist()
+    last = np.inf
+    for i in range(1, len(place)):
+        lo, best, j = max(first_in_reach[i], 1), np.inf, -1
         if lo < i:
-            size = at[i] - at[lo:i] + overlap
-            total = cost[lo:i] + lead[lo:i] + _EVEN * ((size - even) / max_chars) ** 2
+            total = ready[lo:i] + uneven[place[i] - at[lo:i]]
             k = int(total.argmin())
             best, j = total[k], lo + k
-        if at[i] <= max_chars:
-            first = _EVEN * ((at[i] - even) / max_chars) ** 2
-            if first <= best:
-                best, j = first, 0
-        if j >= 0:
-            cost[i], came[i] = best + cut[i] + _PIECE, j
-    if not np.isfinite(cost[-1]):  # only marks that must not be parted, for more than a piece's length: cut evenly
+        if place[i] <= max_chars and whole[i] <= best:
+            best, j = whole[i], 0
+        last = best + price[i]
+        if last < np.inf:
+            ready[i], came[i] = last + lead[i], j
+    if not np.isfinite(last):  # only marks that must not be parted, for more than a piece's length: cut evenly
         return [*range(max_chars, n, step), n]
     ends, i = [], len(at) - 1
     while i:
@@ -147,10 +157,15 @@ def split_long(rows: DataFrame, keys: list[str], text: str = "text") -> DataFram
 def limited(tables: dict[str, tuple[DataFrame, str]], limits: DataFrame, most_limits: int = 1000) -> DataFrame:
     """(tbl, row_key, text, max_chars, overlap_chars) of several tables, each given with its key; `limits` has one row
     a table, and its size is checked before it is used as literals."""
-    found = limits.select("tbl", "max_chars", "overlap_chars").limit(most_limits + 1).collect()
+    found = limits.select("tbl", "max_chars", "overlap_chars").where("tbl IS NOT NULL").distinct().limit(most_limits + 1).collect()
     if len(found) > most_limits:
         raise ValueError(f"more than {most_limits} limits")
+    if len({r["tbl"] for r in found}) < len(found):
+        raise ValueError("two limits for one table")
     parts = []
+    for name, (df, key) in tables.items():  # an empty table of limits splits nothing
+        none = df.where(F.lit(False)).select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), "text")
+        parts.append(none.withColumns({"max_chars": F.lit(0), "overlap_chars": F.lit(0)}))
     for r in found:
         if r["tbl"] in tables:
             df, key = tables[r["tbl"]]

@@ -191,19 +191,21 @@ def choose(values: DataFrame, group: Sequence[str], fields: Sequence[str], rank:
     """(group, records, field, entry): of each group and field the entry whose value is closest to the consensus under
     the dominant policy.  records: rows of the group.
 
-    values: the group's columns, `entry`, the columns `rank` (compared in order), and for each field its tokens,
+    values: the group's columns, `entry`, the columns `rank` (numbers, compared in order, null before all), and for each field its tokens,
     ARRAY<STRING> (null or empty: does not compete), and f"{field}_score", compared before `rank`.
     """
     kinds = [values.schema[c] for c in group]
     n, f, r = len(group), len(fields), len(rank) + 2
     own = [f"k{i}" for i in range(n)]
     key = T.LongType()
-    ranks = [values.schema[c].dataType for c in rank]
+    number = lambda c: T.DoubleType() if values.schema[c].dataType.typeName() in ("double", "float") else T.LongType()
+    lowest = lambda t: F.lit(float("-inf")) if isinstance(t, T.DoubleType) else F.lit(-(1 << 63))
+    ranks = [number(c) for c in rank]
     # One part a field: its consensus, its rank, the closest value and that value's rank.  As the parts of single values
     # are written as the values they are, the first pass reads what the second does.
     part = [T.StructField("records", T.LongType())]
     for i in range(f):
-        score = values.schema[f"{fields[i]}_score"].dataType
+        score = number(f"{fields[i]}_score")
         part += [T.StructField(f"t{i}", T.StringType())]
         part += [T.StructField(f"r{i}_{k}", t) for k, t in enumerate([score, *ranks, key])]
     schema = T.StructType([T.StructField(k, s.dataType) for k, s in zip(own, kinds)] + part)
@@ -245,7 +247,7 @@ def choose(values: DataFrame, group: Sequence[str], fields: Sequence[str], rank:
     for i, name in enumerate(fields):
         said = F.size(F.coalesce(name, F.array().cast("array<string>"))) > 0
         columns.append(F.when(said, F.array_join(F.transform(name, lambda x: F.translate(x, _SEP, " ")), _SEP)).alias(f"t{i}"))
-        columns += [F.col(c).cast(s.dataType).alias(s.name) for c, s in zip([f"{name}_score", *rank, entry], [schema[f"r{i}_{k}"] for k in range(r)])]
+        columns += [F.coalesce(F.col(c).cast(s.dataType), lowest(s.dataType)).alias(s.name) for c, s in zip([f"{name}_score", *rank, entry], [schema[f"r{i}_{k}"] for k in range(r)])]
     parts = _parted(values.select(*columns), own).mapInArrow(first, schema)
     # Parts of a group come together here; nearly all groups have one.
     done = parts.repartition(*own).sortWithinPartitions(*own).mapInArrow(second, chosen)

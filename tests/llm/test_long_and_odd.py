@@ -46,5 +46,5 @@ def test_clashing_columns(spark):
     assert mojibake.find_garbled(docs).count() == 0
     targets = spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")
     assert {r["copies"] for r in mixing.mix_sources(docs, targets).records().collect()} == {2}
-    values = spark.createDataFrame([("a", ["t"], [1.0], 1.0, 7)], "profile string, tokens array<string>, rank array<double>, weight double, entry long")
-    assert survivor.choose(values, ["profile"]).first()["entry"] == 7
+    values = spark.createDataFrame([("a", ["t"], 1.0, 1.0, 7)], "k0 string, t0 array<string>, t0_score double, r0_0 double, entry long")
+    assert survivor.choose(values, ["k0"], ["t0"], ["r0_0"]).first()["entry"] == 7

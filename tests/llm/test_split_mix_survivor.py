@@ -1,11 +1,13 @@
 """Splitting, mixing and surviving values against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioloom.llm import mixing, split, survivor
 
@@ -37,19 +39,41 @@ def cost(text, ends, most, overlap):
     return total
 
 
-def test_plan_is_the_cheapest():
-    random.seed(2)
-    for _ in range(25):
-        text = "".join(random.choice("ab ,.") for _ in range(18))
-        most, overlap = 8, 2
+def brute_force(text, most, overlap):
+    """Cost of the cheapest plan over the boundary positions, by trying them all."""
+    at = [int(x) for x in split.boundary_positions(split.cut_penalties(text), overlap, most - overlap)]
+    best: dict[int, list] = {0: []}
+    for e in at[1:]:
+        reach = [p for p in at if p < e and p in best and (e <= most if p == 0 else e - p <= most - overlap)]
+        if reach:
+            best[e] = min(([*best[p], e] for p in reach), key=lambda plan: partial_cost(text, plan, most, overlap))
+    return cost(text, best[len(text)], most, overlap) if len(text) in best else None
+
+
+def partial_cost(text, ends, most, overlap):
+    """As `cost`, and what the next piece has to pay for where it begins; the last cut counts in full."""
+    penalty = split.cut_penalties(text)
+    s = ends[-1] - overlap
+    lead = 4.0 if penalty[s] >= split.NEVER else 0.0 if penalty[s] <= split.WORD + 0.5 else split._START
+    return cost(text, ends, most, overlap) + (penalty[ends[-1]] + lead if ends[-1] != len(text) else 0) - (0 if ends[-1] == len(text) else penalty[ends[-1]])
 
-        def plans(last):
-            for e in range(max(last + 1, overlap + 1), min(len(text), (most if last == 0 else last + most - overlap)) + 1):
-                yield from ([[e]] if e == len(text) else ([e, *rest] for rest in plans(e)))
 
-        best = min(cost(text, p, most, overlap) for p in plans(0))
-        natural = cost(text, split.plan_cuts(text, most, overlap), most, overlap)
-        assert natural <= best + 3  # candidate positions are thinned where stronger boundaries are near
+def test_plan_is_the_cheapest():
+    random.seed(2)
+    for k in range(150):
+        text = "".join(random.choice(("ab ,.", "abcdefghij .", "abcdefghijklmnopqrst", "天地。玄")[k % 4]) for _ in range(random.randint(70, 160)))
+        most, overlap = random.choice(((20, 0), (30, 6), (24, 10)))
+        want = brute_force(text, most, overlap)
+        assert want is None or abs(cost(text, split.plan_cuts(text, most, overlap), most, overlap) - want) < 1e-9
+
+
+def test_limits_of_tables(spark):
+    df = spark.createDataFrame([(1, "a" * 9)], "k long, text string")
+    kinds = "tbl string, max_chars int, overlap_chars int"
+    found = lambda rows: split.split_long(split.limited({"t": (df, "k")}, spark.createDataFrame(rows, kinds)), ["tbl", "row_key"])
+    assert found([]).count() == 0 and found([("other", 5, 1), (None, 1, 1)]).count() == 0 and found([("t", 5, 1), ("t", 5, 1)]).count() == 2
+    with pytest.raises(ValueError):
+        found([("t", 5, 1), ("t", 6, 1)])
 
 
 def test_split_rows(spark):
@@ -110,6 +134,11 @@ def value(tokens, rank, entry, weight=1.0, g="g"):
 KINDS = "g string, tokens array<string>, rank array<double>, weight double, entry long"
 
 
+def _dominant(df):
+    ranked = df.withColumns({"tokens_score": F.get("rank", F.lit(0)), "second": F.get("rank", F.lit(1)), "third": F.get("rank", F.lit(2))})
+    return survivor.choose(ranked, ["g"], ["tokens"], ["second", "third"])
+
+
 def test_dominant_follows_the_rule(spark):
     random.seed(6)
     rows, want = [], {}
@@ -121,29 +150,66 @@ def test_dominant_follows_the_rule(spark):
         if best:
             want[f"g{g}"] = best[1]
     random.shuffle(rows)
-    got = {r["g"]: r["entry"] for r in survivor.choose(spark.createDataFrame(rows, KINDS), ["g"]).collect()}
+    got = {r["g"]: r["entry"] for r in _dominant(spark.createDataFrame(rows, KINDS)).collect()}
     assert got == want
 
 
 def test_additive_takes_the_middle(spark):
     rows = [value(list("abc"), (3,), 1), value(list("abd"), (2,), 2), value(list("abe"), (1,), 3), value(list("ab"), (0,), 4), value(list("ab"), (0,), 5)]
-    assert survivor.choose(spark.createDataFrame(rows, KINDS), ["g"], "additive").first()["entry"] == 5
+    assert survivor.choose_by_weight(spark.createDataFrame(rows, KINDS), ["g"]).first()["entry"] == 5
     heavy = [*rows, value(list("xyz"), (0,), 6, 50.0)]
-    assert survivor.choose(spark.createDataFrame(heavy, KINDS), ["g"], "additive").first()["entry"] == 6
+    assert survivor.choose_by_weight(spark.createDataFrame(heavy, KINDS), ["g"]).first()["entry"] == 6
 
 
 def test_alignment():
-    a, b = ({"tokens": list(t), "rank": [0.0], "weight": 1.0} for t in ("abcd", "acxd"))
-    columns = survivor.align(survivor.as_profile(a), survivor.as_profile(b))
-    assert survivor.consensus(columns, "additive")[0] == "a" and len(columns) == 5
-    assert survivor.distance("abc", "abc") == 0 and survivor.distance("abc", "ac") == 1 and survivor.distance("", "ab") == 2
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        pairs = survivor.aligned([{t} for t in a], [{t} for t in b])
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in pairs if i is not None and j is not None)
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert sum(i is not None and j is not None for i, j in pairs) == table[-1][-1]
+        assert survivor.distance(a, b) == len(a) + len(b) - 2 * table[-1][-1]
+    profile = survivor.joined(([{"a": 1.0}, {"b": 1.0}], 1.0), ([{"a": 2.0}, {"c": 2.0}], 2.0))
+    assert survivor.consensus(profile) == ["a", "c"]
+
+
+def test_parts_merge_in_any_order():
+    rng = random.Random(9)
+    for _ in range(50):
+        values = [([rng.choice("abcdef") for _ in range(rng.randint(1, 6))], (rng.randint(0, 3), k)) for k in range(12)]
+        best = max(values, key=lambda v: v[1])
+        for _ in range(3):
+            parts = [survivor.as_part(*v) for v in values]
+            while len(parts) > 1:
+                rng.shuffle(parts)
+                parts = [survivor.merged(parts[0], parts[1]), *parts[2:]]
+            agreed, rank, value, own = parts[0]
+            assert agreed == value == best[0] and rank == own == best[1]
+
+
+def test_large_group_of_distinct_values(spark):
+    rows = spark.range(50_000).select(
+        F.lit("g").alias("g"), F.array(*[F.concat(F.lit(f"t{k}-"), (F.col("id") * 7919 % (1000 * (k + 1))).cast("string")) for k in range(5)]).alias("tokens"),
+        F.array(F.col("id").cast("double")).alias("rank"), F.lit(1.0).alias("weight"), F.col("id").alias("entry"),
+    )
+    began = time.time()
+    assert [r["entry"] for r in _dominant(rows).collect()] == [49_999]
+    assert time.time() - began < 60
+    began = time.time()
+    assert survivor.choose_by_weight(rows, ["g"]).count() == 1
+    assert time.time() - began < 120
 
 
 def test_hot_group_and_nulls(spark):
     rows = [value(["t%d" % (i % 50)], (i % 7, i), i, g=None) for i in range(3000)] + [value([], (1,), 1, g="e")]
-    got = survivor.choose(spark.createDataFrame(rows, KINDS), ["g"]).collect()
+    got = _dominant(spark.createDataFrame(rows, KINDS)).collect()
     assert [(r["g"], r["entry"]) for r in got] == [(None, max((r[2], r[4]) for r in rows if r[0] is None)[1])]
-    assert survivor.choose(spark.createDataFrame([], KINDS), ["g"]).count() == 0
+    assert _dominant(spark.createDataFrame([], KINDS)).count() == 0
 
 
 CAST = "book_id string, id string, entry_id long, aliases array<string>, evidence array<string>, notes map<string,array<string>>, persona string, profile string, updated_at timestamp_ntz, f string"

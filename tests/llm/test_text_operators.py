@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioloom.llm import equal_looking, mojibake, names, sentences
 
+from ..conftest import SMALL
+
 # A bar marks where a sentence ends.
 SENTENCES = [
     "“We are ruined! |Wait ... I hear it,” resumed Wexstane.", "“No,” resumed Yarwick. |“Dr. Selström knows!”", "“Come in?” added Zellborne, “look under No. 21.”",
@@ -81,7 +83,7 @@ def test_short_forms_gender_and_dirt(spark):
 def test_all_longer_forms_are_kept(spark):
     long = ["Joan", "Joanna", "Joel", "Jonah", "Jonas", "Joseph", "Josiah", "Joshua", "Josephine", "Jolene"]
     rows = [(f"b{k}", n, f"{n} Wexmont", ["Jo Wexmont"], None, None) for k in range(2) for n in long]
-    full = {r["word"]: set(r["full"]) for r in names.short_forms(names.entry_forms(spark.createDataFrame(rows, KINDS))[0]).collect()}
+    full = {r["word"]: set(r["full"]) for r in names.short_forms(names.entry_forms(spark.createDataFrame(rows, KINDS))).collect()}
     assert full["jo"] == {n.lower() for n in long}
 
 
@@ -91,16 +93,28 @@ def test_bands_meet_as_the_curve_says():
 
 
 def test_banding_recall_against_all_pairs(spark):
+    """At the similarity that the curve is tuned at, 0.35, and above."""
     random.seed(8)
-    people = ["".join(random.choice("abcdefgh") for _ in range(5)) + " " + "".join(random.choice("ijklmnop") for _ in range(8)) for _ in range(60)]
-    typos = [p[:7] + random.choice("qrst") + p[8:] for p in people]
+    people = ["".join(random.choice("abcdefgh") for _ in range(5)) + " " + "".join(random.choice("ijklmnop") for _ in range(8)) for _ in range(150)]
+    typos = [p[:7] + random.choice("qrst") + p[8:] for p in people] + [p[:2] + "zz" + p[4:8] + "yy" + p[10:] for p in people]
     forms = [names.read_form(p) for p in people + typos]
-    rows = [("b", f["key"], {"words": f["words"], "kind": f["kind"], "script": f["script"], "generation": "", "gender": "", "key": f["key"], "grams": names.grams(f["words"], f["script"])}) for f in forms]
-    df = spark.createDataFrame(rows, f"book_id string, key string, form {names._FORM}")
+    df = spark.createDataFrame([("b", f["key"], f["words"], f["script"]) for f in forms], "book_id string, key string, words array<string>, script string")
     met = {(r["a"], r["b"]) for r in names.candidate_forms(df).collect()}
-    sets = {r[1]: set(r[2]["grams"]) for r in rows}
-    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.4]
-    assert len(near) >= 50 and sum(p in met for p in near) / len(near) >= 0.9
+    sets = {f["key"]: set(names.grams(f["words"], f["script"])) for f in forms}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.35]
+    assert len(near) >= 150 and sum(p in met for p in near) / len(near) >= 0.985
+    order = sorted(forms, key=lambda f: f["key"].encode())
+    assert {(order[i]["key"], order[j]["key"]) for i, j in names._candidates(order)} == met
+
+
+def test_a_book_in_one_task_or_in_many(spark):
+    cast = spark.read.parquet(f"{SMALL}/cast_members.parquet")
+    one = {tuple(r) for r in names.same_person_pairs(cast).collect()}
+    many = {tuple(r) for r in names.same_person_pairs(cast, most_forms=0).collect()}
+    mixed = {tuple(r) for r in names.same_person_pairs(cast, most_forms=100).collect()}
+    assert len(one) > 300 and one == many == mixed
+    none = {tuple(r) for r in names.same_person_pairs(cast, most_short=0).collect()}
+    assert none == one
 
 
 def test_star_clusters(spark):
@@ -110,10 +124,11 @@ def test_star_clusters(spark):
 
 
 def test_star_clusters_of_a_long_chain(spark):
-    ids = [f"i{k:03}" for k in range(158)]
+    ids = [f"i{k:04}" for k in range(1000)]
     links = [("b", a, b) for a, b in zip(ids, ids[1:])]
-    got = {r["id"] for r in names.star_clusters(spark.createDataFrame(links, "book_id string, a string, b string")).collect()}
-    assert not [(a, b) for _, a, b in links if a not in got and b not in got]
+    got = {r["id"]: r["star"] for r in names.star_clusters(spark.createDataFrame(links, "book_id string, a string, b string")).collect()}
+    assert len(got) == 1000 and got == names.book_stars((a, b) for _, a, b in links)
+    assert all(got[s] == s and abs(ids.index(i) - ids.index(s)) <= 1 for i, s in got.items())
 
 
 EQUAL = [
