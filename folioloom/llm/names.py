@@ -499,9 +499,10 @@ def _one_gender(links: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def star_clusters(links: DataFrame) -> DataFrame:
-    """(book_id, id, star) of every id with a link.  Of the ids not yet in a cluster, one that has more links to such
+    """(book_id, id, star) of ids with a link.  Of the ids not yet in a cluster, one that has more links to such
     than all its neighbours (as many: by a hash, so that rounds are few) is a star; its free neighbours join it, each the
-    star with most links.  So on until none is left.  links: book_id, a, b, once each."""
+    star with most links.  So on until none is left; who has no free neighbour left stays alone, and has no row.
+    links: book_id, a, b, once each."""
     both = links.select("book_id", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
         links.select("book_id", F.col("b").alias("id"), F.col("a").alias("other"))
     )

@@ -64,14 +64,13 @@ def _short_forms() -> Iterator[str]:
 
 
 def _masks(p: Column) -> Column:
-    """The paragraph with everything masked that looks like an end and is none."""
+    """The paragraph with every full stop masked that looks like an end and is none."""
 
     # Each pattern begins with what it replaces and looks behind from there, as most characters are no full stop.
     def put(pattern: str, new: str) -> None:
         nonlocal p
         p = F.regexp_replace(p, F.lit(pattern), F.lit(new))
 
-    put(r'"([^"\n]*)"', f"{_OPEN}$1{_SHUT}")
     put(r"^(\s*(?:Chapter|Chapitre|Kapitel|Capítulo|Глава|अध्याय|Book|Part|Volume) [\divxlcIVXLC]+)\.", f"$1{_DOT}")
     # Pauses: dots after a space, and the dot before such.
     put(r"\.(?<=\s\.{0,6}\.)(?=[\s.])", _DOT)
@@ -186,7 +185,8 @@ def sentences(texts: DataFrame, keys: list[str], text: str = "text", heading: Co
     ks = [f"k{i}" for i in range(len(keys))]
     headed = F.lit(False) if heading is None else heading
     rows = spread(texts.select(*named, F.col(text).alias("text"), headed.alias("headed")).where(F.col("text").rlike(r"(?U)\S")))
-    ends = lambda c: F.split(F.regexp_replace(c, r"(\n[^\S\n]*\n\s*)", f"$1{_PARA}"), _PARA)
+    parted = lambda c: F.split(F.regexp_replace(c, r"(\n[^\S\n]*\n\s*)", f"$1{_PARA}"), _PARA)
+    ends = lambda c: F.when(c.contains("\n"), parted(c)).otherwise(F.array(c))
     cut = _plain(rows, "text", "safe").select(*ks, "text", "headed", ends(F.col("safe")).alias("paras"))
     at = _starts(F.transform("paras", lambda x: F.char_length(x)))
     placed = cut.select(*ks, "headed", "paras", at.alias("at"), _stored(F.col("text"), F.col("paras")).alias("own"))
@@ -194,7 +194,9 @@ def sentences(texts: DataFrame, keys: list[str], text: str = "text", heading: Co
     title = F.col("headed") & (F.col("nr") == 0)
     plain = F.translate(F.col("para.p"), ".!?…। ", _DOT + _BANG + _ASK + _DOT + _DOT + _GAP)
     plain = F.translate(plain, "。！？", _DOT + _BANG + _ASK)
-    masked = paras.select(*ks, F.col("para.own").alias("own"), F.col("para.at").alias("base"), F.when(title, plain).otherwise(_masks(F.col("para.p"))).alias("m"))
+    quoted = F.regexp_replace("para.p", r'"([^"\n]*)"', f"{_OPEN}$1{_SHUT}")
+    first = paras.select(*ks, F.col("para.own").alias("own"), F.col("para.at").alias("base"), F.when(title, plain).otherwise(quoted).alias("m"))
+    masked = first.withColumn("m", F.when(F.col("m").contains("."), _masks(F.col("m"))).otherwise(F.col("m")))
     found = _ends(masked, "m").select(*ks, "own", "base", F.split("m", _END).alias("parts"))
     starts = _starts(F.transform("parts", lambda x: F.char_length(x)))
     each = found.select(*ks, "own", "base", F.explode(F.arrays_zip(F.col("parts").alias("s"), starts.alias("at"))).alias("e"))
