@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.tokenize import token_count
@@ -104,60 +104,67 @@ class Mix:
         self.cuts = self._cut(spark, rest)
 
     def _cut(self, spark: SparkSession, rest: dict[str, float]) -> dict[str, tuple[float, int | None]]:
-        """By source the last rank and key that are taken, so that their tokens come closest to what is left to fill."""
+        """By source the last rank and key that are taken, so that their tokens come closest to what is left to fill.
+
+        Each step counts ranks in cells, adds the cells up in Spark, and brings back one row a source: the cell in which
+        the source is full.  It narrows the place by _CELLS, until that cell holds few records, or records of one rank
+        only, which are taken or left together."""
         ranked = self.planned.where(F.col("pos").isNotNull())
-        low, width = dict.fromkeys(rest, 0.0), 1.0
-        open_ = [s for s, r in rest.items() if r > 0]
         done: dict[str, tuple[float, int | None]] = {s: (-1.0, None) for s in rest}
-        few: list[tuple[str, float, float]] = []  # source and bounds of the cell that its cut lies in
-        for depth in range(4):  # each histogram narrows the place by 4096, until the cell holds few records
-            if not open_:
-                break
-            start = F.create_map(*[x for s in open_ for x in (F.lit(s), F.lit(low[s]))])
-            cell = F.floor((F.col("pos") - start[F.col("source")]) * (_CELLS / width)).cast("int")
-            at = ranked.where(F.col("source").isin(open_)).withColumn("cell", cell).where((F.col("cell") >= 0) & (F.col("cell") < _CELLS))
-            sums: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
-            for r in at.groupBy("source", "cell").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect():
-                sums[r["source"]][r["cell"]] = (r["t"], r["n"])  # at most sources x 4096 rows
-            still, part = [], width / _CELLS
-            for s in open_:
-                for c in sorted(sums[s]):
-                    t, n = sums[s][c]
-                    if rest[s] < t:
-                        low[s] += c * part
-                        if n <= _FEW or depth == 3:
-                            few.append((s, low[s], low[s] + part))
-                        else:
-                            still.append(s)
-                        break
-                    rest[s] -= t
-                else:
+        open_ = {s: (0.0, r) for s, r in rest.items() if r > 0}  # lowest rank of the cell, tokens to fill from there
+        few: dict[str, tuple[float, float]] = {}
+        width = 1.0
+        while open_:
+            goals = spark.createDataFrame([(s, low, r) for s, (low, r) in open_.items()], "source string, low double, goal double")
+            met = ranked.join(F.broadcast(goals), "source")  # a row a source, of MOST_SOURCES at most
+            cell = F.floor((F.col("pos") - F.col("low")) * (_CELLS / width)).cast("int")
+            at = met.withColumn("cell", cell).where((F.col("cell") >= 0) & (F.col("cell") < _CELLS))
+            cells = at.groupBy("source", "goal", "cell").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+            so_far = F.sum("t").over(Window.partitionBy("source").orderBy("cell"))
+            full = F.struct("cell", "t", "n", "a", "b", (so_far - F.col("t")).alias("before"))
+            placed = cells.select("source", F.when(so_far > F.col("goal"), full).alias("full"))
+            found = {r["source"]: r["full"] for r in placed.groupBy("source").agg(F.min("full").alias("full")).collect()}
+            part, still = width / _CELLS, {}
+            for s, (low, goal) in open_.items():
+                c = found.get(s)
+                if c is None:
                     done[s] = (2.0, None)  # all of them
+                    continue
+                first, left = low + c["cell"] * part, goal - c["before"]
+                if c["n"] <= _FEW:
+                    few[s] = first, left
+                    done[s] = (math.nextafter(c["a"], -1.0), None)
+                elif c["a"] == c["b"]:
+                    done[s] = (c["b"], None) if left >= c["t"] / 2 else (math.nextafter(c["a"], -1.0), None)
+                else:
+                    still[s] = first, left
+            if few_now := {s: few.pop(s) for s in list(few)}:
+                self._finish(spark, ranked, few_now, part, done)
             open_, width = still, part
-        if few:
-            inside = F.lit(False)
-            for s, first, end in few:
-                inside |= (F.col("source") == s) & (F.col("pos") >= first) & (F.col("pos") < end)
-            last: dict[str, list] = defaultdict(list)
-            cell = ranked.where(inside).groupBy("source", "pos", "key").agg(F.sum("tokens").alias("tokens"))
-            for r in cell.collect():
-                last[r["source"]].append(r)
-            for s, first, _ in few:
-                done[s] = (math.nextafter(first, -1.0), None)  # what lies below the cell
-                for r in sorted(last[s], key=lambda r: (r["pos"], r["key"])):
-                    if rest[s] < r["tokens"] / 2:
-                        break
-                    rest[s] -= r["tokens"]
-                    done[s] = (r["pos"], r["key"])
         return done
 
+    def _finish(self, spark: SparkSession, ranked: DataFrame, few: dict[str, tuple[float, float]], part: float, done: dict) -> None:
+        """Cells of at most _FEW records each, record by record, in Spark: one row a source comes back."""
+        goals = spark.createDataFrame([(s, first, left) for s, (first, left) in few.items()], "source string, first double, left_ double")
+        met = ranked.join(F.broadcast(goals), "source").where((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + F.lit(part)))
+        units = met.groupBy("source", "left_", "pos", "key").agg(F.sum("tokens").alias("t"))
+        so_far = F.sum("t").over(Window.partitionBy("source").orderBy("pos", "key"))
+        # In order, each is taken while at least a half of it is still to fill; the first that is not ends it.
+        step = units.withColumn("stop", F.col("left_") - (so_far - F.col("t")) < F.col("t") / 2)
+        over = F.max(F.col("stop").cast("int")).over(Window.partitionBy("source").orderBy("pos", "key"))
+        last = step.withColumn("over", over).where("over = 0").groupBy("source").agg(F.max(F.struct("pos", "key")).alias("last"))
+        for r in last.collect():
+            done[r["source"]] = (r["last"]["pos"], r["last"]["key"])
+
     def records(self) -> DataFrame:
         """(key, source, tokens, copies) of every record that is used."""
         spark = self.plan.sparkSession
         key_kind = self.planned.schema["key"].dataType.simpleString()
         cuts = [(s, pos, key) for s, (pos, key) in self.cuts.items()]
         cut = spark.createDataFrame(cuts, f"source string, last_pos double, last_key {key_kind}")
-        taken = (F.col("pos") < F.col("last_pos")) | ((F.col("pos") == F.col("last_pos")) & (F.col("key") <= F.col("last_key")))
+        # Without a last key all of that rank are taken.
+        tie = (F.col("pos") == F.col("last_pos")) & (F.col("last_key").isNull() | (F.col("key") <= F.col("last_key")))
+        taken = (F.col("pos") < F.col("last_pos")) | tie
         copies = F.col("whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
         out = self.planned.join(F.broadcast(cut), "source").select("key", "source", "tokens", copies.cast("int").alias("copies"))
         return out.where(F.col("copies") > 0)
@@ -186,8 +193,6 @@ class Mix:
 
 def _everything():
     """A window over a report's rows, one a source."""
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(1))
 
 
