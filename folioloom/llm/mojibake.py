@@ -250,7 +250,8 @@ def build() -> ahocorasick.Automaton:
     """All garbled sequences, each with its length, the readers that make it of UTF-8 and the other pairs.
 
     The automaton runs over UTF-8 bytes: its nodes keep their followers in a list, which must be short."""
-    found: dict[str, set] = {"�": {("lost", "")}}  # U+FFFD: a match, of no pair
+    # U+FFFD and C1 controls (U+0085 is a line's end in some systems): matches of no pair, which tell of lost characters.
+    found: dict[str, set] = {c: {("lost", "")} for c in ("�", *map(chr, [*range(0x80, 0x85), *range(0x86, 0xA0)]))}
     for source in (_utf8_patterns(), _legacy_patterns()):
         for g, pair in source:
             # Small letters of one script alone are ordinary in it.
@@ -286,12 +287,14 @@ def matches(text: str) -> list[tuple[int, int, tuple, tuple]]:
     return out
 
 
+MOST_CITED = 6  # characters: two of three bytes each
 _OPEN, _CLOSE = "‘“«'\"„‚「", "’”»'\"“‘」"
 
 
 def _cited(text: str, start: int, end: int) -> bool:
-    """Whether these characters stand alone between quotation marks."""
-    return 0 < start and end < len(text) and text[start - 1] in _OPEN and text[end] in _CLOSE and end - start <= 6
+    """Whether these characters stand alone between quotation marks; what is cited so is a few signs, not a word that was
+    damaged inside its marks."""
+    return 0 < start and end < len(text) and text[start - 1] in _OPEN and text[end] in _CLOSE and end - start <= MOST_CITED
 
 
 _NATURAL_NEXT = set("»”’“‘…–—„« ·ё№")
@@ -508,10 +511,13 @@ _BESIDE = 4  # characters beside a sequence that its oddity may depend on
 
 
 def _garbled(text: str) -> bool:
-    """Whether a text holds garbled sequences, uncited, that some pair reads as less odd than they stand, be it with
-    characters lost.  Each place is judged by itself, whether the rest of its line can be restored or not."""
+    """Whether a text holds marks of lost characters, or garbled sequences, uncited, that some pair reads as less odd than
+    they stand, be it with characters lost.  Each place is judged by itself, whether the rest of its line can be restored
+    or not."""
     spans: dict[tuple, list[list[int]]] = {}
     for start, end, readers, pairs in matches(text):
+        if end - start == 1 and (text[start] == "�" or text[start] < "\xa0"):
+            return True
         if _cited(text, start, end):
             continue
         for pair in (*(("utf_8", r) for r in readers), *pairs):
@@ -557,10 +563,8 @@ def _split_hits(text: str) -> tuple[dict[int, tuple], list[tuple[int, tuple]]]:
 def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, partly: set, wait: list | None) -> str:
     """A line without what garbled sequences can be undone in it; damage on damage included."""
     new = line
-    for _ in range(4):
-        again = _undo_utf8(new, utf8) if utf8 else new
-        if again == new:
-            break
+    # Each time sequences become single characters, so a line that changes gets shorter, and the loop ends.
+    while utf8 and len(again := _undo_utf8(new, utf8)) < len(new):
         new = again
         utf8 = _split_hits(new)[0]
     if pairs and line not in partly and (left := oddity(new)):
@@ -573,7 +577,6 @@ def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, pa
     return new
 
 
-_CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 _TORN = re.compile(r"(?<!\w)â(?=[A-Z])|(?<=[a-z.,!?])â(?=\s|$|[st]\b)")
 
 
@@ -581,9 +584,10 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     """Whether a text is damaged, and the text as far as it can be had back."""
     if not text or text.isascii():
         return False, text
-    damaged, known, partly = "�" in text, [], set()
+    damaged, known, partly = False, [], set()
     wait: list | None = []
-    for _ in range(4):
+    seen = {text}
+    while True:  # until nothing changes, or a text comes again
         utf8, other = _split_hits(text)
         out, at, starts, k, j = [], 0, sorted({*utf8, *(i for i, _ in other)}), 0, 0
         while k < len(starts):  # line by line, as damage seldom goes beyond
@@ -604,9 +608,12 @@ def restore(text: str | None) -> tuple[bool, str | None]:
         new = "".join(out)
         if new == text and not wait:
             break
-        damaged, text, wait = damaged or new != text, new, None
-    # C1 controls are no text (U+0085 is a line's end in some systems), nor is a mark's first byte left alone.
-    damaged = damaged or _CONTROL.search(text) is not None or "â" in text and _TORN.search(text) is not None
+        damaged, text, wait, again = damaged or new != text, new, None, new in seen and new != text
+        if again:
+            break
+        seen.add(new)
+    # Nor is a mark's first byte left alone text.
+    damaged = damaged or "â" in text and _TORN.search(text) is not None
     # Damage that no reading of its line undoes is damage all the same.
     return damaged or _garbled(text), text
 
