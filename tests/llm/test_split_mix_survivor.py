@@ -1,5 +1,6 @@
 """Splitting, mixing and surviving values against brute force."""
 
+import functools
 import random
 import time
 from collections import Counter
@@ -232,3 +233,54 @@ def test_cast_fields(spark):
     whole = {r["id"]: r for r in survivor.surviving_records(df, trust).collect()}
     assert whole["x"]["aliases"] == ["A", "B"] and whole["x"]["persona"] == '{"voice": "low"}' and whole["z"]["aliases"] is None and set(whole) == {"x", "y", "z"}
     assert survivor.cast_survivors(df.limit(0), trust).count() == 0
+
+
+def test_rank_alone_decides(spark):
+    """No alignment runs where it cannot decide, and an entry that comes twice does not lose to an older one."""
+    rows = [value(["x", "y"], (0, 9), 5), value(["y", "z"], (0, 9), 5), value(["y"], (0, 1), 4), value(["y"], (0, 9), None)]
+    got = _dominant(spark.createDataFrame(rows, KINDS))
+    assert [r["entry"] for r in got.collect()] == [5]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "InArrow" not in plan and "Python" not in plan
+
+
+def test_ranks_choose_as_alignment_would(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for g in range(60):
+        own = [([rng.choice("abcdef") for _ in range(rng.randint(1, 6))], (float(rng.randint(0, 2)), rng.randint(0, 8) + 10 * g)) for _ in range(rng.randint(1, 8))]
+        rows += [(f"g{g}", tokens, [rank[0]], 1.0, rank[1]) for tokens, rank in own]
+        want[f"g{g}"] = functools.reduce(survivor.merged, [survivor.as_part(*v) for v in own])[3][1]
+    rng.shuffle(rows)
+    assert {r["g"]: r["entry"] for r in _dominant(spark.createDataFrame(rows, KINDS)).collect()} == want
+
+
+def test_odd_cast_as_in_sql(spark):
+    """Null keys, entries and times, entries that come twice, and times that a session's zone skips, or has twice."""
+    import datetime as dt
+
+    import duckdb
+
+    from folioloom.llm import queries
+
+    rng = random.Random(5)
+    times = [None, dt.datetime(2025, 3, 9, 2, 30), dt.datetime(2025, 3, 9, 3, 10), dt.datetime(2025, 11, 2, 1, 30)]
+    said = [[None, [], ["A"], ["A", "B"], ["A", None], ["n/a"]], [None, [], ["ch1: x"], ["ch2: "], ["y", "z"], ["z"]]]
+    notes, persona = [None, {}, {"gender": ["m"]}, {"gender": ["m"], "age": ["9"]}, {"age": ["?"]}], [None, "{}", '{"a": "b"}', '{"a": null}', "[]", '{"a']
+    rows = []
+    for e in range(900):
+        entry = rng.choice([e, e // 3, None]) if e % 4 == 0 else e
+        rows.append((rng.choice([None, "b"]), rng.choice([None, *"abcdefghijkl"]), entry, *map(rng.choice, said), rng.choice(notes), rng.choice(persona), rng.choice([None, "p", "q"]), rng.choice(times), None))
+    cast = spark.createDataFrame(rows, CAST)
+    trust = spark.createDataFrame([("p", 5), ("q", None), (None, 9)], "profile string, trust int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = Counter(tuple(r) for r in survivor.cast_survivors(cast, trust).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    db = duckdb.connect()
+    cast_members, profile_trust = cast.drop("f").toArrow(), trust.toArrow()
+    db.register("cast_members", cast_members)
+    db.register("profile_trust", profile_trust)
+    assert got == Counter(db.execute(queries.ORACLE["p2_found"]).fetchall())
