@@ -12,11 +12,12 @@ quotation marks is cited, and no damage.  U+FFFD marks damage that cannot be und
 
 from __future__ import annotations
 
+import codecs
 import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -70,6 +71,12 @@ def _writes(encoding: str) -> dict[str, int]:
     return {c: b for b, c in reversed(list(enumerate(_reads(encoding)))) if b >= 0x80}
 
 
+@cache
+def _code(reader: str) -> dict[int, int]:
+    """Byte of each character that a reader knows, ASCII as it is."""
+    return {ord(c): b for c, b in _writes(reader).items()} | {b: b for b in range(0x80)}
+
+
 def _as_bytes(text: str, reader: str) -> bytes | None:
     """The bytes that `reader` read as this text; None if there are none."""
     if reader in WIDE:
@@ -77,16 +84,10 @@ def _as_bytes(text: str, reader: str) -> bytes | None:
             return text.encode(reader)
         except UnicodeEncodeError:
             return None
-    table = _writes(reader)
-    out = bytearray()
-    for c in text:
-        if c < "\x80":
-            out.append(ord(c))
-        elif c in table:
-            out.append(table[c])
-        else:
-            return None
-    return bytes(out)
+    try:
+        return codecs.charmap_encode(text, "strict", _code(reader))[0]
+    except UnicodeEncodeError:
+        return None
 
 
 @cache
@@ -135,15 +136,51 @@ _ODD = re.compile(
 _HAN_RUN = re.compile("[々〇㐀-鿿豈-﫿]+")
 
 
-def oddity(text: str) -> float:
-    """How much in a text hardly stands in ordinary writing of any of the languages."""
-    total = 0.0
-    for m in _ODD.finditer(text):
+# Letters of none of the languages: what damage turns into, and what names from elsewhere hold rightly.
+_RARE = set("ăőŕčďđěňřťůűľĺşţĂŐŔČĎĐĚŇŘŤŮŰĽĹŞŢšžŠŽŸýÝþÞðÐЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕїѐ")
+_BEYOND = re.compile(r"[^\x00-\x7f][^\x00-\x7f]*")  # one character first: the search leaps to it
+# What the patterns of _ODD look at before and after a run beyond ASCII; all of their matches start in it or just behind.
+_BEFORE, _AFTER = 3, 2
+_SHORT = 40  # characters of what is kept; runs and words repeat, long ones seldom
+
+
+def _weigh_run(text: str, start: int) -> tuple[float, float]:
+    """Oddity of a run beyond ASCII that begins at `start` and ends before the last _AFTER characters, or fewer at the text's
+    end, and its part that comes of rare letters."""
+    run = _BEYOND.match(text, start)
+    end = run.end()
+    total = rare = 0.0
+    for m in _ODD.finditer(text, start):
+        if m.start() > end:  # another run's
+            break
         total += len(m.group()) or 1
+        rare += m.group() in _RARE
     common = _common_cjk()
-    for m in _HAN_RUN.finditer(text):
+    for m in _HAN_RUN.finditer(text, start, end):
         total += 0.5 * sum(c not in common for c in m.group())
-    return total + text.count("�")
+    return total + run.group().count("�"), rare
+
+
+_weigh_known = lru_cache(1 << 16)(_weigh_run)
+
+
+def _weigh(text: str) -> tuple[float, float]:
+    """Oddity of a text, and its part that comes of rare letters; each run beyond ASCII by itself."""
+    total = rare = 0.0
+    if not text.isascii():
+        for m in _BEYOND.finditer(text):
+            start, end = m.span()
+            weigh = _weigh_known if end - start <= _SHORT else _weigh_run
+            left = min(start, _BEFORE)
+            a, b = weigh(text[start - left : end + _AFTER], left)
+            total += a
+            rare += b
+    return total, rare
+
+
+def oddity(text: str) -> float:
+    """How much in a text hardly stands in ordinary writing of any of the languages."""
+    return _weigh(text)[0]
 
 
 @cache
@@ -236,18 +273,19 @@ def _legacy_patterns() -> Iterator[tuple[str, tuple]]:
 _SMALL = re.compile(r"[а-яё]+|[α-ώ]+|(?=.*[a-z])[a-zß-öø-ÿąćęłńśźż]+")
 
 
-_MACHINE: list[ahocorasick.Automaton] = []
+_MACHINE: list[tuple[ahocorasick.Automaton, str, str]] = []
 
 
-def automaton(packed: bytes | None = None) -> ahocorasick.Automaton:
-    """The automaton, built once or taken from `packed`, once in each process."""
+def automaton(packed: bytes | None = None) -> tuple[ahocorasick.Automaton, str, str]:
+    """The automaton and its characters, built once or taken from `packed`, once in each process."""
     if not _MACHINE:
         _MACHINE.append(pickle.loads(packed) if packed else build())
     return _MACHINE[0]
 
 
-def build() -> ahocorasick.Automaton:
-    """All garbled sequences, each with its length, the readers that make it of UTF-8 and the other pairs.
+def build() -> tuple[ahocorasick.Automaton, str, str]:
+    """All garbled sequences, each with its length, the readers that make it of UTF-8 and the other pairs; the characters
+    that are the first beyond ASCII of any, and those of them that another need not follow.
 
     The automaton runs over UTF-8 bytes: its nodes keep their followers in a list, which must be short."""
     # U+FFFD and C1 controls (U+0085 is a line's end in some systems): matches of no pair, which tell of lost characters.
@@ -264,26 +302,45 @@ def build() -> ahocorasick.Automaton:
         others = tuple(p for p in pairs if p[0] != "lost" and not (p[0] == "utf_8" and p[1] in SINGLE))
         out.add_word(g.encode("utf-8").decode("latin-1"), (len(g), readers, others))
     out.make_automaton()
-    return out
+    first, single = set(), set()
+    for g in found:
+        k = next(k for k, c in enumerate(g) if c > "\x7f")
+        first.add(g[k])
+        if g[k + 1 : k + 2].isascii():
+            single.add(g[k])
+    return out, "".join(sorted(first)), "".join(sorted(single))
 
 
-_NEAR = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+(?:[\x00-\x7f][^\x00-\x7f]+)*[\x00-\x7f]?")
+@cache
+def _places() -> re.Pattern:
+    """Stretches that can hold garbled sequences, from their first character beyond ASCII on.  No sequence has two
+    characters of ASCII in a row, nor more than one at its ends."""
+    first, single = (re.escape(x) for x in automaton()[1:])
+    return re.compile(rf"[{first}](?:(?=[^\x00-\x7f])|(?<=[{single}]))[^\x00-\x7f]*(?:[\x00-\x7f][^\x00-\x7f]+)*")
 
 
-def matches(text: str) -> list[tuple[int, int, tuple, tuple]]:
-    """Start, end, UTF-8 readers and other pairs of all garbled sequences in a text, by start.  Each of them holds a
-    character beyond ASCII, so plain stretches need no look; only where the rest shows a sequence is the whole read."""
-    machine = automaton()
-    near = "\0".join(_NEAR.findall(text)).encode("utf-8").decode("latin-1")
-    if next(machine.iter(near), None) is None:
-        return []
+def _matches_here(text: str) -> tuple[tuple[int, int, tuple, tuple], ...]:
     data = text.encode("utf-8")
     out, at, chars = [], 0, 0
-    for end, (n, readers, others) in machine.iter(data.decode("latin-1")):
+    for end, (n, readers, others) in automaton()[0].iter(data.decode("latin-1")):
         chars += len(data[at : end + 1].decode("utf-8"))
         at = end + 1
         out.append((chars - n, chars, readers, others))
-    out.sort(key=lambda m: m[0])
+    return tuple(sorted(out, key=lambda m: m[0]))
+
+
+_matches_known = lru_cache(1 << 16)(_matches_here)
+
+
+def matches(text: str) -> list[tuple[int, int, tuple, tuple]]:
+    """Start, end, UTF-8 readers and other pairs of all garbled sequences in a text, by start.  Each of them holds a
+    character beyond ASCII, so plain stretches need no look; short stretches repeat, and are looked at once."""
+    out = []
+    for m in _places().finditer(text):
+        start = max(0, m.start() - 1)
+        part = text[start : m.end() + 1]
+        for first, last, readers, others in (_matches_known if len(part) <= _SHORT else _matches_here)(part):
+            out.append((start + first, start + last, readers, others))
     return out
 
 
@@ -339,6 +396,29 @@ def _utf8_unit(text: str, i: int, reader: str) -> tuple[str, int] | None:
     return (c, i + n) if c in _written() else None
 
 
+_FEW = re.compile(rf"[^\x00-\x7f]{{1,{_SHORT + 1}}}")
+
+
+def _utf8_run(text: str, i: int, reader: str) -> tuple[str, int, int, int]:
+    """The UTF-8 characters from here on without a gap, the characters they were read as, how many they are, and how many of
+    them ordinary writing has too."""
+    chars, j, plain = [], i, 0
+    while (unit := _utf8_unit(text, j, reader)) is not None:
+        c, end = unit
+        chars.append(c)
+        plain += end == j + 2 and text[j].isalpha() and text[j + 1] in _NATURAL_NEXT
+        j = end
+    return "".join(chars), j - i, len(chars), plain
+
+
+_utf8_known = lru_cache(1 << 16)(_utf8_run)
+
+
+@lru_cache(1 << 12)
+def _in_order(readers: tuple[str, ...]) -> list[str]:
+    return sorted(set(readers), key=SINGLE.index)
+
+
 def _undo_utf8(text: str, hits: dict[int, tuple]) -> str:
     """Replace what single-byte readers made of UTF-8.  hits: readers by position.  A sequence that ordinary writing
     has too is replaced only beside others of the same reader."""
@@ -353,21 +433,15 @@ def _undo_units(text: str, hits: dict[int, tuple], sure: frozenset[str]) -> tupl
         if i < at:
             continue
         found: dict[tuple[int, str], str] = {}  # what the readers make of it; several may agree
-        for reader in sorted(set(hits[i]), key=SINGLE.index):
-            chars, j, plain = [], i, 0
-            while (unit := _utf8_unit(text, j, reader)) is not None:
-                c, end = unit
-                chars.append(c)
-                plain += end == j + 2 and text[j].isalpha() and text[j + 1] in _NATURAL_NEXT
-                j = end
-                if j < len(text) and text[j] < "\x80":
-                    break
-            if not chars or reader == "cp874" and len(chars) < 3:
+        run = m.group() if (m := _FEW.match(text, i)) else ""
+        for reader in _in_order(hits[i]):
+            new, n, count, plain = _utf8_known(run, 0, reader) if len(run) <= _SHORT else _utf8_run(text, i, reader)
+            if not count or reader == "cp874" and count < 3:
                 continue
             # One sequence that ordinary writing has too, as a capital before a closing mark, is no proof.
-            if reader not in sure and plain == len(chars) == 1 and (i and text[i - 1].isalpha() or not text[i].isupper()):
+            if reader not in sure and plain == count == 1 and (i and text[i - 1].isalpha() or not text[i].isupper()):
                 continue
-            found.setdefault((j, "".join(chars)), reader)
+            found.setdefault((i + n, new), reader)
         best: tuple | None = None
         left = text[i - 1 : i]
         for (j, new), reader in found.items():
@@ -415,13 +489,10 @@ def _loose(text: str, writer: str, reader: str) -> str | None:
     return re.sub("�+", "�", new)
 
 
-# Letters of none of the languages: what damage turns into, and what names from elsewhere hold rightly.
-_RARE = set("ăőŕčďđěňřťůűľĺşţĂŐŔČĎĐĚŇŘŤŮŰĽĹŞŢšžŠŽŸýÝþÞðÐЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕїѐ")
-
-
 def _impossible(text: str) -> float:
     """Oddity without the letters that are rare only."""
-    return oddity(text) - sum(len(m.group()) for m in _ODD.finditer(text) if m.group() in _RARE)
+    total, rare = _weigh(text)
+    return total - rare
 
 
 _SURE = 40  # pairs with most votes
@@ -510,12 +581,12 @@ def _undo_line(line: str, votes: Counter, known: list, partly: set | None = None
 _BESIDE = 4  # characters beside a sequence that its oddity may depend on
 
 
-def _garbled(text: str) -> bool:
-    """Whether a text holds marks of lost characters, or garbled sequences, uncited, that some pair reads as less odd than
+def _garbled(text: str, found: list[tuple[int, int, tuple, tuple]]) -> bool:
+    """Whether a text, of which these are the matches, holds marks of lost characters, or garbled sequences, uncited, that some pair reads as less odd than
     they stand, be it with characters lost.  Each place is judged by itself, whether the rest of its line can be restored
     or not."""
     spans: dict[tuple, list[list[int]]] = {}
-    for start, end, readers, pairs in matches(text):
+    for start, end, readers, pairs in found:
         if end - start == 1 and (text[start] == "�" or text[start] < "\xa0"):
             return True
         if _cited(text, start, end):
@@ -546,11 +617,11 @@ def _garbled(text: str) -> bool:
     return False
 
 
-def _split_hits(text: str) -> tuple[dict[int, tuple], list[tuple[int, tuple]]]:
-    """Of a text: UTF-8 readers by position, and positions and pairs of the other sequences."""
+def _split_hits(text: str, found: list[tuple[int, int, tuple, tuple]]) -> tuple[dict[int, tuple], list[tuple[int, tuple]]]:
+    """Of a text and its matches: UTF-8 readers by position, and positions and pairs of the other sequences."""
     utf8: dict[int, tuple] = {}
     other: list[tuple[int, tuple]] = []
-    for start, end, readers, pairs in matches(text):
+    for start, end, readers, pairs in found:
         if _cited(text, start, end):
             continue
         if readers:
@@ -566,7 +637,7 @@ def _undo(line: str, utf8: dict[int, tuple], pairs: list[tuple], known: list, pa
     # Each time sequences become single characters, so a line that changes gets shorter, and the loop ends.
     while utf8 and len(again := _undo_utf8(new, utf8)) < len(new):
         new = again
-        utf8 = _split_hits(new)[0]
+        utf8 = _split_hits(new, matches(new))[0]
     if pairs and line not in partly and (left := oddity(new)):
         votes: Counter = Counter()
         for p in pairs:
@@ -587,8 +658,9 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     damaged, known, partly = False, [], set()
     wait: list | None = []
     seen = {text}
+    found = matches(text)
     while True:  # until nothing changes, or a text comes again
-        utf8, other = _split_hits(text)
+        utf8, other = _split_hits(text, found)
         out, at, starts, k, j = [], 0, sorted({*utf8, *(i for i, _ in other)}), 0, 0
         while k < len(starts):  # line by line, as damage seldom goes beyond
             begin = text.rfind("\n", 0, starts[k]) + 1
@@ -608,6 +680,8 @@ def restore(text: str | None) -> tuple[bool, str | None]:
         new = "".join(out)
         if new == text and not wait:
             break
+        if new != text:
+            found = matches(new)
         damaged, text, wait, again = damaged or new != text, new, None, new in seen and new != text
         if again:
             break
@@ -615,7 +689,7 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     # Nor is a mark's first byte left alone text.
     damaged = damaged or "â" in text and _TORN.search(text) is not None
     # Damage that no reading of its line undoes is damage all the same.
-    return damaged or _garbled(text), text
+    return damaged or _garbled(text, found), text
 
 
 def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

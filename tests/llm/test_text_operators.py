@@ -216,6 +216,53 @@ def test_lost_characters():
     assert mojibake.restore("You�d have said") == (True, "You�d have said")
 
 
+class Counted:
+    """A pattern that counts the characters it is given."""
+
+    def __init__(self, pattern):
+        self.pattern, self.chars = pattern, 0
+
+    def finditer(self, text, *at):
+        self.chars += len(text)
+        return self.pattern.finditer(text, *at)
+
+
+def test_plain_stretches_are_not_weighed(monkeypatch):
+    line = "a long plain stretch of words " * 200 + misread("Il était très près", "cp1252", "cp1251")
+    monkeypatch.setattr(mojibake, "_ODD", odd := Counted(mojibake._ODD))
+    assert mojibake.restore(line) == (True, "a long plain stretch of words " * 200 + "Il était très près")
+    assert odd.chars < len(line)
+
+
+def test_right_text_is_read_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(mojibake, "matches", lambda text, real=mojibake.matches: read.append(text) or real(text))
+    assert mojibake.restore(CLEAN["fr"]) == (False, CLEAN["fr"])
+    assert read == [CLEAN["fr"]]
+
+
+def odd_texts(n):
+    rng, keys = random.Random(8), [k.encode("latin-1").decode("utf-8") for k in mojibake.automaton()[0].keys()]
+    pools = [keys, [*"isndt’éÔÇ\x85\x92 .,!?TNÂÃŁเกё龘�»“"], [" ", "a", "bc", "’", "“é", "\n", "中文字", "isn", "t "], [*"abcT .1\n"]]
+    yield from ("", "é", "isn’t", "aÔÇé", "เ", "เ เa", "isnét", "nét" * 30, "中" * 100 + "龘")
+    for _ in range(n):
+        yield "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 60)))
+
+
+def test_runs_weigh_what_the_whole_weighs():
+    common = mojibake._common_cjk()
+    for text in odd_texts(4000):
+        found = [m.group() for m in mojibake._ODD.finditer(text)]
+        rest = text.count("�") + sum(0.5 * (c not in common) for run in mojibake._HAN_RUN.findall(text) for c in run)
+        assert mojibake.oddity(text) == sum(len(g) or 1 for g in found) + rest, text
+        assert mojibake._impossible(text) == sum(len(g) or 1 for g in found if g not in mojibake._RARE) + rest, text
+
+
+def test_stretches_hold_all_matches_of_the_whole():
+    for text in odd_texts(2000):
+        assert mojibake.matches(text) == list(mojibake._matches_here(text)), text
+
+
 def test_garbled_documents(spark):
     rows = [(1, misread("été", "utf_8", "cp1252"), "x"), (2, None, "y"), (3, "", "z"), (4, "fine", None), (1, misread("été", "utf_8", "cp1252"), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, restored string")
